@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import op8_audio
+from .mixing import op9_mixing
+from .packing import op4_packing
+from .sharding import op3_sharding
 from .simhash import op10_simhash
+from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sharding": op3_sharding,
+        "op4_packing": op4_packing,
+        "op7_token_counts": op7_token_counts,
+        "op8_audio": op8_audio,
+        "op9_mixing": op9_mixing,
         "op10_simhash": op10_simhash,
     }
 
