@@ -10,7 +10,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Stretches that a worker remembers, and the longest one it remembers, in characters.
-MEMO, LONGEST = 300_000, 64
+MEMO, LONGEST = 1_000_000, 64
 #: A byte-level pre-token never runs from a character that isn't white space into ASCII white space.
 BREAK = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 _held: dict[tuple[str, bool], Encoder] = {}
@@ -21,7 +21,8 @@ class Encoder:
 
     ``words``: the tokenizer drops white space before it merges, so texts fall into words at ASCII white space; otherwise
     (byte-level merges) they are cut where ASCII white space follows another character. No token of either kind crosses such a place,
-    so the ids of a text are those of its stretches in turn. Stretches are remembered, at most MEMO of them.
+    so the ids of a text are those of its stretches in turn. The first MEMO stretches are remembered: frequent ones come
+    early, so that later ones are rare.
     """
 
     def __init__(self, path: str, words: bool):
@@ -33,34 +34,23 @@ class Encoder:
         self.memo: dict = {}
 
     def stretches(self, text: bytes) -> list:
-        return text.split() if self.words else BREAK.split(text.decode())
-
-    def lookup(self, texts: Sequence[list]) -> dict:
-        """The ids of each stretch as little-endian 32-bit bytes; the returned dictionary is valid until the next call."""
-        memo = self.memo
-        new = list(dict.fromkeys(s for t in texts for s in t if s not in memo))
-        if not new:
-            return memo
-        if len(memo) + len(new) > MEMO:
-            memo = self.memo = {}
-            new = list(dict.fromkeys(s for t in texts for s in t))
-        table = memo
-        if len(new) > MEMO or any(len(s) > LONGEST for s in new):
-            table = dict(memo)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            found = self.tokenizer.encode_batch([s.decode() for s in some] if self.words else some, add_special_tokens=False)
-            for s, e in zip(some, found):
-                table[s] = ids = np.asarray(e.ids, "<u4").tobytes()
-                if table is not memo and len(s) <= LONGEST and len(memo) < MEMO:
-                    memo[s] = ids
-        return table
+        if self.words:  # this kind lowers case itself, but for special tokens
+            return (text if b"<|" in text else text.lower()).split()
+        return BREAK.split(text.decode())
 
     def ids(self, texts: Sequence[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
+        memo, rare = self.memo, {}
         cut = [self.stretches(t) for t in texts]
-        table = self.lookup(cut)
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
+        new = list({s: None for c in cut for s in c if s not in memo})
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            found = self.tokenizer.encode_batch([s.decode() for s in some] if self.words else some, add_special_tokens=False)
+            for s, e in zip(some, found):
+                (memo if len(memo) < MEMO and len(s) <= LONGEST else rare)[s] = np.asarray(e.ids, "<u4").tobytes()
+        if rare:
+            return [b"".join([x if (x := memo.get(s)) is not None else rare[s] for s in c]) for c in cut]
+        return [b"".join(map(memo.__getitem__, c)) for c in cut]
 
 
 def encoder(path: str, words: bool) -> Encoder:
