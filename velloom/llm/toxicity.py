@@ -20,6 +20,8 @@ ORDER, SLOTS, DISCOUNT = 5, 1 << 20, 0.75
 LABELLED = 8000
 #: Longest word that is scored as one, in characters; longer ones are scored in pieces. Words that a worker remembers.
 LONGEST, MEMO = 40, 400_000
+#: Words whose n-grams are made in one go.
+AT_ONCE = 8192
 WORD = re.compile(r"\w+")
 
 
@@ -59,10 +61,13 @@ def grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tally(vocabulary: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables of fixed size: counts of the longest n-grams, of their contexts, and distinct continuations of these contexts."""
-    full, word, context = grams(vocabulary)
-    n = np.bincount(full[-1], counts[word], SLOTS)
-    pair, first = np.unique(full[-1], return_index=True)
-    return n, np.bincount(context[-1], counts[word], SLOTS), np.bincount(context[-1][first], minlength=SLOTS).astype(np.float64) if len(pair) else np.zeros(SLOTS)
+    n, total, context_of = np.zeros(SLOTS), np.zeros(SLOTS), np.full(SLOTS, -1, np.int32)
+    for i in range(0, len(vocabulary), AT_ONCE):
+        full, word, context = grams(vocabulary[i : i + AT_ONCE])
+        n += np.bincount(full[-1], counts[i : i + AT_ONCE][word], SLOTS)
+        total += np.bincount(context[-1], counts[i : i + AT_ONCE][word], SLOTS)
+        context_of[full[-1]] = context[-1]
+    return n, total, np.bincount(context_of[context_of >= 0], minlength=SLOTS).astype(np.float64)
 
 
 class Model:
@@ -102,8 +107,8 @@ class Scorer:
         new = list({w for c in cut for w in c if w not in self.memo})
         if len(new) + len(self.memo) > MEMO:
             self.memo, new = {}, list({w for c in cut for w in c})
-        for i in range(0, len(new), 50_000):
-            self.memo.update(zip(new[i : i + 50_000], self.model.ratios(new[i : i + 50_000]).tolist()))
+        for i in range(0, len(new), AT_ONCE):
+            self.memo.update(zip(new[i : i + AT_ONCE], self.model.ratios(new[i : i + AT_ONCE]).tolist()))
         out = np.zeros((len(texts), 4))
         for k, c in enumerate(cut):
             if c:
@@ -166,6 +171,7 @@ def shared_counts(vocabulary: DataFrame) -> list[np.ndarray]:
     The continuation count of an n-gram is the number of different n-grams one character longer that end in it. Each task makes the
     distinct (longer, n-gram, context) slots of its words; they meet by slot, and the driver gets sums in at most SLOTS rows an order.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vocab = batch.column(0).to_pylist()
@@ -179,11 +185,13 @@ def shared_counts(vocabulary: DataFrame) -> list[np.ndarray]:
     seen = vocabulary.select("word").mapInArrow(run, "k int, longer int, slot int, context int").distinct()
     kinds = saved(seen.groupBy("k", "slot", "context").agg(F.count("*").alias("n")))
     lower = []
-    numbers = kinds.groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()
-    contexts = kinds.groupBy("k", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    for k in range(ORDER - 1):
-        a, b = numbers[numbers["k"] == k], contexts[contexts["k"] == k]
-        lower += [np.bincount(a["slot"], a["n"], SLOTS), np.bincount(b["context"], b["n"], SLOTS), np.bincount(b["context"], b["kinds"], SLOTS)]
+    table = lambda f, key, value: np.bincount(f[key], f[value], SLOTS).astype(np.float32)
+    for k in range(ORDER - 1):  # an order at a time, so that the driver holds one
+        one = kinds.where(F.col("k") == k)
+        numbers = one.groupBy("slot").agg(F.sum("n").cast("int").alias("n")).toPandas()
+        lower.append(table(numbers, "slot", "n"))
+        contexts = one.groupBy("context").agg(F.sum("n").cast("int").alias("n"), F.count("*").cast("int").alias("kinds")).toPandas()
+        lower += [table(contexts, "context", "n"), table(contexts, "context", "kinds")]
     return lower
 
 
@@ -223,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         classes = [tuple(t * (low / c[0].sum()) if i < 2 else t for i, t in enumerate(c)) for c in classes]
         classes = [(n, total, np.minimum(kinds, total / DISCOUNT)) for n, total, kinds in classes]
     tables = lambda ts: [t.astype(np.float32) for t in ts]
-    model = Model(tables(shared_counts(corpus_words(docs, text_col))), [tables(c) for c in classes])
+    classes = [tables(c) for c in classes]
+    model = Model(shared_counts(corpus_words(docs, text_col)), classes)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
