@@ -53,6 +53,9 @@ def test_shared_counts_are_continuations(spark):
     lower = toxicity.shared_counts(spark.createDataFrame([(w, 1) for w in vocab], "word string, n long"))
     full, word, context = toxicity.grams(vocab)
     at = [i for i, w in enumerate(word) if w == 0][1]  # the b of ab
-    assert lower[0][full[0][at]] == 2  # after a, after the start
-    assert lower[3][full[1][at]] == 2  # ab after the start, after c
-    assert lower[4][context[1][at]] == 2 and lower[5][context[1][at]] == 1
+    # after a stands only b, in ab after the start and in cab after c: two continuations of one kind
+    own, below = lower[1]
+    assert abs(own[full[1][at]] - (2 - 0.75) / 2) < 1e-3 and abs(below[context[1][at]] - 0.75 / 2) < 1e-3
+    # b alone: after a and after the start, out of 7 different pairs (b, a, c and the end)
+    n = len({(x, y) for w in vocab for x, y in zip("^" + w, w + "$")})
+    assert abs(lower[0][0][full[0][at]] - (2 - 0.75) / n) < 1e-3

@@ -5,19 +5,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved, utf8
 
 #: Characters of an n-gram; slots of a table of hashed n-grams; discount of counts.
-ORDER, SLOTS, DISCOUNT = 5, 1 << 20, 0.75
+ORDER, SLOTS, DISCOUNT = 5, 1 << 19, 0.75
 #: Labelled texts that are learnt from at most, those of each class with the least hash of doc_id.
-LABELLED = 8000
+LABELLED = 4000
 #: Longest word that is scored as one, in characters; longer ones are scored in pieces. Words that a worker remembers.
 LONGEST, MEMO = 40, 400_000
 #: Words whose n-grams are made in one go.
@@ -59,15 +60,12 @@ def grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slot(full), word[at], slot(context)
 
 
-def tally(vocabulary: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of fixed size: counts of the longest n-grams, of their contexts, and distinct continuations of these contexts."""
-    n, total, context_of = np.zeros(SLOTS), np.zeros(SLOTS), np.full(SLOTS, -1, np.int32)
-    for i in range(0, len(vocabulary), AT_ONCE):
-        full, word, context = grams(vocabulary[i : i + AT_ONCE])
-        n += np.bincount(full[-1], counts[i : i + AT_ONCE][word], SLOTS)
-        total += np.bincount(context[-1], counts[i : i + AT_ONCE][word], SLOTS)
-        context_of[full[-1]] = context[-1]
-    return n, total, np.bincount(context_of[context_of >= 0], minlength=SLOTS).astype(np.float64)
+def tables(slot: np.ndarray, context: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What an order of the model needs: the discounted share of each n-gram in its context, and each context's weight of the order below."""
+    total, kinds = np.bincount(context, n, SLOTS), np.bincount(context, minlength=SLOTS)
+    own = np.bincount(slot, np.maximum(n - DISCOUNT, 0) / (total[context] + prior), SLOTS)
+    below = (np.minimum(DISCOUNT * kinds, total) + prior) / (total + prior)
+    return np.minimum(own, 1).astype(np.float16), below.astype(np.float16)
 
 
 class Model:
@@ -76,23 +74,28 @@ class Model:
     The highest order holds each class's own counts less a discount; what the discount takes goes to the shared distribution of the
     lower orders, whose counts are Kneser-Ney continuation counts over the words of the whole corpus. An expression that a class
     has seen rarely or never therefore takes its probability from the corpus, alike for both classes. All tables are hashed into
-    SLOTS slots, so a model's size doesn't depend on the corpus.
+    SLOTS slots, so a model's size (12 tables of SLOTS half-precision numbers) doesn't depend on the corpus.
     """
 
-    def __init__(self, lower: list[np.ndarray], classes: list[list[np.ndarray]], weights: list[float] | None = None):
-        self.lower, self.classes, self.weights = lower, classes, weights
+    def __init__(self, lower: list[tuple[np.ndarray, np.ndarray]], classes: list[tuple[np.ndarray, np.ndarray]]):
+        self.lower, self.classes = lower, classes
 
     def ratios(self, vocabulary: list[str]) -> np.ndarray:
         """The log-likelihood ratio of toxic to ordinary, of each word."""
         full, word, context = grams(vocabulary)
         share = np.full(full.shape[1], 1e-4)
-        for k in range(ORDER - 1):  # counts, totals and kinds of continuation
-            n, total, kinds = self.lower[3 * k][full[k]], self.lower[3 * k + 1][context[k]], self.lower[3 * k + 2][context[k]]
-            share = (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kinds + 1e-3) * share) / (total + 1e-3)
-        own = []
-        for n, total, kinds in self.classes:
-            own.append(np.log((np.maximum(n[full[-1]] - DISCOUNT, 0) + (DISCOUNT * kinds[context[-1]] + 1) * share) / (total[context[-1]] + 1)))
-        return np.bincount(word, own[1] - own[0], len(vocabulary))
+        for k, (own, below) in enumerate(self.lower):
+            share = own[full[k]] + below[context[k]].astype(np.float64) * share
+        ordinary, toxic = (np.log(own[full[-1]] + below[context[-1]].astype(np.float64) * share) for own, below in self.classes)
+        return np.bincount(word, toxic - ordinary, len(vocabulary))
+
+
+@dataclass
+class Learnt:
+    """A model on the executors, and the weights of its features (None where one class was never seen)."""
+
+    model: Broadcast
+    weights: list[float] | None
 
 
 class Scorer:
@@ -165,11 +168,11 @@ def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_counts(vocabulary: DataFrame) -> list[np.ndarray]:
-    """For each order below the highest: continuation counts of n-grams, and totals and kinds of their contexts, as tables of SLOTS.
+def shared_counts(vocabulary: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The tables of each order below the highest, from continuation counts.
 
     The continuation count of an n-gram is the number of different n-grams one character longer that end in it. Each task makes the
-    distinct (longer, n-gram, context) slots of its words; they meet by slot, and the driver gets sums in at most SLOTS rows an order.
+    distinct (longer, n-gram, context) slots of its words; they meet by slot, and the driver gets about SLOTS rows an order at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +186,15 @@ def shared_counts(vocabulary: DataFrame) -> list[np.ndarray]:
                 yield pa.record_batch([pa.array(np.full(rows.shape[1], k, np.int32)), *(pa.array(r) for r in rows)], names=["k", "longer", "slot", "context"])
 
     seen = vocabulary.select("word").mapInArrow(run, "k int, longer int, slot int, context int").distinct()
-    kinds = saved(seen.groupBy("k", "slot", "context").agg(F.count("*").alias("n")))
+    kinds = saved(seen.groupBy("k", "slot", "context").agg(F.count("*").cast("int").alias("n")))
     lower = []
-    table = lambda f, key, value: np.bincount(f[key], f[value], SLOTS).astype(np.float32)
     for k in range(ORDER - 1):  # an order at a time, so that the driver holds one
-        one = kinds.where(F.col("k") == k)
-        numbers = one.groupBy("slot").agg(F.sum("n").cast("int").alias("n")).toPandas()
-        lower.append(table(numbers, "slot", "n"))
-        contexts = one.groupBy("context").agg(F.sum("n").cast("int").alias("n"), F.count("*").cast("int").alias("kinds")).toPandas()
-        lower += [table(contexts, "context", "n"), table(contexts, "context", "kinds")]
+        one = kinds.where(F.col("k") == k).select("slot", "context", "n").toPandas().sort_values(["slot", "context"])
+        lower.append(tables(one["slot"].to_numpy(), one["context"].to_numpy(), one["n"].to_numpy(np.float64), 1e-3))
     return lower
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Learnt:
     """A model learnt from at most ``labelled`` texts of each class outside the held-out fifth, and from the words of all ``docs``.
 
     Three quarters of the labelled texts give the class counts, a quarter the weights that turn features into a probability. Rows
@@ -208,32 +207,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = marks.select("id", "y", F.xxhash64("id").alias("h"))
     sample = sample.where("y = 1").orderBy("h").limit(labelled).union(sample.where("y = 0").orderBy("h").limit(labelled))
     picked = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    texts = picked.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("y", "h", "text")
+    texts = saved(picked.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("y", "h", "text"))  # 2 * labelled keys
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            part: dict[tuple[int, int], Counter[str]] = {}
             for y, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 if h % 4:
-                    part.setdefault(y, Counter()).update(words(text))
-            for y, c in part.items():
-                yield pa.record_batch([pa.array([y] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["y", "word", "n"])
-
-    texts = saved(texts)
-    counted = texts.mapInArrow(count, "y int, word string, n long").groupBy("y", "word").agg(F.sum("n").alias("n")).toPandas()  # of 2 * labelled texts
+                    part[y].update(words(text))
+        for y, c in part.items():
+            vocab, n = list(c), np.fromiter(c.values(), np.int64, len(c))
+            for i in range(0, len(vocab), AT_ONCE):
+                full, word, context = grams(vocab[i : i + AT_ONCE])
+                yield pa.record_batch([pa.array(np.full(len(word), y, np.int32)), pa.array(full[-1].astype(np.int32)), pa.array(context[-1].astype(np.int32)), pa.array(n[i : i + AT_ONCE][word])], names=["y", "slot", "context", "n"])
+
+    counted = texts.mapInArrow(count, "y int, slot int, context int, n long").groupBy("y", "slot", "context").agg(F.sum("n").alias("n")).toPandas().sort_values(["y", "slot", "context"])
+    # both classes weigh alike: equal totals, so that what neither has seen often says nothing
+    low = min(counted.loc[counted["y"] == y, "n"].sum() for y in (0, 1))
     classes = []
     for y in (0, 1):
         own = counted[counted["y"] == y]
-        classes.append(tally(own["word"].tolist(), own["n"].to_numpy(np.float64)))
-    # both classes weigh alike: equal totals, so that what neither has seen often says nothing
-    low = min(c[0].sum() for c in classes)
-    if low:
-        classes = [tuple(t * (low / c[0].sum()) if i < 2 else t for i, t in enumerate(c)) for c in classes]
-        classes = [(n, total, np.minimum(kinds, total / DISCOUNT)) for n, total, kinds in classes]
-    tables = lambda ts: [t.astype(np.float32) for t in ts]
-    classes = [tables(c) for c in classes]
-    model = Model(shared_counts(corpus_words(docs, text_col)), classes)
-    known = docs.sparkSession.sparkContext.broadcast(model)
+        classes.append(tables(own["slot"].to_numpy(), own["context"].to_numpy(), own["n"].to_numpy(np.float64) * (low / max(1, own["n"].sum())), 1.0))
+    del counted
+    known = docs.sparkSession.sparkContext.broadcast(Model(shared_counts(corpus_words(docs, text_col)), classes))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(known.value)
@@ -242,26 +238,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.record_batch([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", "f0", "f1", "f2", "f3"])
 
     fit = texts.where("pmod(h, 4) = 0").select("y", "text").mapInArrow(measure, "y int, f0 double, f1 double, f2 double, f3 double").toPandas().sort_values(["y", "f0", "f1", "f2", "f3"])
+    weights = None
     if fit["y"].nunique() == 2:
-        model.weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["y"].to_numpy(), np.array([n / max(1, min(n, labelled)) for n in all_]))
-    known.unpersist()
-    return model
+        weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["y"].to_numpy(), np.array([n / max(1, min(n, labelled)) for n in all_]))
+    return Learnt(known, weights)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, score in 0..1 and predicted for every row, from its whole text alone; ``keep`` names columns to pass on.
 
     A null text is an empty one; an empty text gets the probability at a ratio of 0; repeated rows score alike; a null doc_id is
     kept; an empty table gives an empty result.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known, weights = model.model, model.weights
     keep = keep or []
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     kept = [f for f in picked.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        scorer = Scorer(m)
+        scorer = Scorer(known.value)
         for batch in batches:
             texts, x, at = utf8(batch.column(1)), [], 0
             while at < batch.num_rows:
@@ -271,7 +266,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     n += len(some[-1])
                 x.append(scorer.features(some))
                 at += len(some)
-            p = probability(np.concatenate(x), m.weights) if m.weights and x else np.full(batch.num_rows, 0.5)
+            p = probability(np.concatenate(x), weights) if weights and x else np.full(batch.num_rows, 0.5)
             yield pa.record_batch([batch.column(0), pa.array(p), *(batch.column(2 + i) for i in range(len(kept)))], names=["doc_id", "score", *(f.name for f in kept)])
 
     schema = "doc_id long, score double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
