@@ -90,6 +90,19 @@ class Model:
         return np.bincount(word, toxic - ordinary, len(vocabulary))
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def scorer_of(known: Broadcast) -> Scorer:
+    """This worker's scorer for a broadcast model, with the words that it has met in earlier tasks."""
+    model = known.value
+    found = _scorers.get(id(model))
+    if found is None or found.model is not model:
+        _scorers.clear()
+        found = _scorers[id(model)] = Scorer(model)
+    return found
+
+
 @dataclass
 class Learnt:
     """A model on the executors, and the weights of its features (None where one class was never seen)."""
@@ -232,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = docs.sparkSession.sparkContext.broadcast(Model(shared_counts(corpus_words(docs, text_col)), classes))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(known.value)
+        scorer = scorer_of(known)
         for batch in batches:
             x = scorer.features(list(utf8(batch.column(1))))
             yield pa.record_batch([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", "f0", "f1", "f2", "f3"])
@@ -256,7 +269,7 @@ def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str
     kept = [f for f in picked.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(known.value)
+        scorer = scorer_of(known)
         for batch in batches:
             texts, x, at = utf8(batch.column(1)), [], 0
             while at < batch.num_rows:
