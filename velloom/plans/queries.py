@@ -222,7 +222,7 @@ def _oracle() -> dict[str, str]:
         "export_rows": f"select conv_id, row_number() over (partition by conv_id order by line_no) row_no, line from {_CHAT_LINES} where {_n('line')} > 0",
         "collapse_guard": f"select doc_id, case when {_n('c')} = 0 or ({n('text')} >= 4 and {n('c')} < greatest(2, trunc({n('text')} * 0.5))) or ({n('text')} >= 4 and {n('c')} >= 3 and {n('c')} >= {n('c')}) or length({_strip('c')}) > greatest(80, trunc(length(text) * 2.8)) then text else c end = c took_candidate from (select doc_id, text, {cand} c from documents)",
         "form_fragment": r"select page_id, coalesce(contains(html, 'data-bbox') or contains(lower(html), '<div') or contains(html, '___') or regexp_matches(html, '«\s*\d|\d\s*»'), false) form from pages",
-        "counter_rate": "select event_id, user_id, coalesce(round(greatest(0.0, (sent - lag(sent) over w) / greatest(1e-3, at - lag(at) over w)) * (8 / 1e6), 6), 0.0) rate from (select event_id, user_id, epoch_us(ts) / 1e6 at, sum(value::decimal(18,2)) over (partition by user_id order by ts, event_id)::double sent from events) window w as (partition by user_id order by at)",
+        "counter_rate": "select event_id, user_id, coalesce(round(greatest(0.0, (sent - lag(sent) over w) / greatest(1e-3, \"at\" - lag(\"at\") over w)) * (8 / 1e6), 6), 0.0) rate from (select event_id, user_id, epoch_us(ts) / 1e6 \"at\", sum(value::decimal(18,2)) over (partition by user_id order by ts, event_id)::double sent from events) window w as (partition by user_id order by \"at\")",
         "job_retention": "select event_id, ts, user_id from events order by ts desc, event_id desc limit 50",
         "job_state": "select user_id job_id, arg_max(s, event_id) filter (s is not null) status, arg_max(value, event_id) filter (value is not null) \"value\", count(*) changes from (select *, case event_type when 'error' then 'error' when 'purchase' then 'done' when 'view' then 'running' end s from events) group by user_id",
         "log_filter": "select event_id, '/api/export/' || event_type m from events where event_id % 3 = 2",
