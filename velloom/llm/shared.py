@@ -52,6 +52,20 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+_kept: list = [None, None]
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make()`` gives, kept by this worker process until another key is asked for.
+
+    A worker outlives tasks and stages; one cache at a time keeps what it holds from adding up over the stages of a job.
+    """
+    if _kept[0] != key:
+        _kept[:] = [None, None]  # the old one goes before the new one is made
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
 class Forest:
     """Union-find over 0..n-1 that takes whole arrays of links; the smallest index of a set is its root."""
 

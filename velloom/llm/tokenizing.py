@@ -9,11 +9,12 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .shared import kept_by_worker
+
 #: Stretches that a worker remembers, and the longest one it remembers, in characters.
 MEMO, LONGEST = 1_000_000, 64
 #: A byte-level pre-token never runs from a character that isn't white space into ASCII white space.
 BREAK = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
-_held: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
@@ -55,9 +56,7 @@ class Encoder:
 
 def encoder(path: str, words: bool) -> Encoder:
     """This worker's encoder for the file."""
-    if (path, words) not in _held:
-        _held[path, words] = Encoder(path, words)
-    return _held[path, words]
+    return kept_by_worker(("tokens", path, words), lambda: Encoder(path, words))
 
 
 def vocabulary(name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, utf8
+from .shared import kept_by_worker, saved, utf8
 
 #: Characters of an n-gram; slots of a table of hashed n-grams; discount of counts.
 ORDER, SLOTS, DISCOUNT = 5, 1 << 19, 0.75
@@ -90,17 +90,23 @@ class Model:
         return np.bincount(word, toxic - ordinary, len(vocabulary))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer_of(known: Broadcast) -> Scorer:
     """This worker's scorer for a broadcast model, with the words that it has met in earlier tasks."""
     model = known.value
-    found = _scorers.get(id(model))
-    if found is None or found.model is not model:
-        _scorers.clear()
-        found = _scorers[id(model)] = Scorer(model)
-    return found
+    return kept_by_worker(("toxicity", _Same(model)), lambda: Scorer(model))
+
+
+class _Same:
+    """Equal only to a wrapper of the very same object; holds it, so that its identity isn't given to another."""
+
+    def __init__(self, what: object):
+        self.what = what
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Same) and other.what is self.what
+
+    def __hash__(self) -> int:
+        return id(self.what)
 
 
 @dataclass
