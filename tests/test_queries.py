@@ -19,7 +19,7 @@ def test_query(spark, name):
         assert rows
         return
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "events"):
+    for t in ("documents", "pages", "conversations", "events", "benchmark"):
         db.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
     want = db.sql(SQL[name])
     names = sorted(got.columns)

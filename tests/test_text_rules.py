@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velloom.functions import similarity as sim
 from velloom.functions import text
-from velloom.operators import series
+from velloom.operators import lines, series
 from velloom.sources import exports
 
 
@@ -96,3 +96,21 @@ def test_exports(spark):
     assert sheet.count("<row>") == 4 and "<v>3</v>" in sheet
     r = exports.files(spark.createDataFrame([("0123456789ab", body)], "id string, text string"), "id", "text", "docx").first()
     assert r.file_name == "ocr-01234567.docx" and r.content[:2] == b"PK"
+
+
+def test_settings_clips_and_tails(spark):
+    rows = [(None, None, None), ("", " ", "x"), (" OFF", "a", None), ("yes", None, " b "), ("0", "", "")]
+    d = spark.createDataFrame(rows, "a string, b string, c string")
+    got = d.select(text.truthy(F.col("a")), text.first_set(F.col("b"), F.col("c")), text.clip(F.col("c"), 1)).collect()
+    assert [tuple(r) for r in got] == [(False, None, ""), (True, "x", "x"), (False, "a", ""), (True, "b", "b"), (False, None, "")]
+    say = "alpha bravos charlie deltas"
+    d = spark.createDataFrame([(say, say), (say, "deltas bravos charlie"), (say, None), ("", say), (say, say.upper())], "a string, b string")
+    assert [r[0] for r in d.select(text.repeats_head(F.col("a"), F.col("b"), "[a-z]")).collect()] == [True, False, False, False, True]
+
+
+def test_regroup_and_lexicon_with_nulls(spark):
+    d = spark.createDataFrame([(1, 0, 1, "b"), (1, 0, 0, "a"), (1, 2, 5, "c"), (1, 1, 4, " "), (1, 3, 6, None)], "doc long, line long, at long, word string")
+    assert [tuple(r) for r in lines.regroup(d, "doc", "line", "at", "word").collect()] == [(1, "a b\nc", 2)]
+    known = spark.createDataFrame([("A",), ("a",), (None,)], "word string")
+    assert sorted(str(r.word) for r in lines.unknown_words(d, known).collect()) == [" ", "None", "b", "c"]
+    assert lines.regroup(d.limit(0), "doc", "line", "at", "word").collect() == []

@@ -146,3 +146,26 @@ def human_bytes(c: Column) -> Column:
 def progress(base: Column, fraction: Column, span: Column) -> Column:
     """WIN10: overall progress, never beyond 0.999 before the end."""
     return F.least(F.lit(0.999), F.greatest(F.lit(0.0), base + fraction * span))
+
+
+def clip(c: Column, most: int = 1800) -> Column:
+    """ORD4: the first ``most`` code points of the stripped text; '' for null."""
+    return F.substring(strip(F.coalesce(c, F.lit(""))), 1, most)
+
+
+def truthy(c: Column) -> Column:
+    """FLT8: whether a setting is on; a missing one is off, any text but a word for no is on."""
+    return F.coalesce(~F.lower(strip(c)).isin("0", "false", "no", "off"), F.lit(False))
+
+
+def first_set(*settings: Column) -> Column:
+    """PRJ3: the first setting that isn't null or blank."""
+    return F.coalesce(*(F.nullif(strip(c), F.lit("")) for c in settings))
+
+
+def repeats_head(head: Column, tail: Column, script: str = "[А-Яа-яЁё]", least: int = 5) -> Column:
+    """FLT10: whether a tail says again what the head says, by their distinct long words; false for null."""
+    long_words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({script}{{{least},}})"), F.lit(1)))
+    a, b = long_words(head), long_words(tail)
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce((F.size(b) >= 4) & (F.size(a) > 0) & (shared >= 3) & (shared / F.greatest(F.size(b), F.lit(1)) >= 0.22), F.lit(False))

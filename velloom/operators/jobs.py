@@ -59,3 +59,14 @@ def mean_confidence(words: Column) -> Column:
 def export_status(fmt: Column, known: Column, status: Column) -> Column:
     """SNK8: format, then job, then state."""
     return F.when(~fmt.isin("txt", "md", "docx", "xlsx", "pdf"), 400).when(~known, 404).when(status != "done", 409).otherwise(200)
+
+
+def timings(began: Column, recognised: Column, ended: Column) -> Column:
+    """AGG15: whole milliseconds of the steps of a job from epoch seconds, truncated; correction counts from recognition on."""
+    ms = lambda a, b: ((b - a) * 1000).cast("long")
+    return F.struct(ms(began, recognised).alias("recognize_ms"), ms(recognised, ended).alias("correct_ms"), ms(began, ended).alias("total_ms"))
+
+
+def page_confidence(confidence: Column) -> Column:
+    """AGG2, an aggregate: a document's confidence if it has one page only, else null."""
+    return F.when(F.count("*") == 1, F.max(confidence))

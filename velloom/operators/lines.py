@@ -54,3 +54,16 @@ def join_pages(df: DataFrame, doc: str, page: str, text: str = "text", joiner: s
     """AGG2, AGG3, AGG5: (doc, text, pages): pages joined in order."""
     ordered = F.array_sort(F.collect_list(F.struct(page, text)))
     return df.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda s: s[text]), joiner).alias("text"), F.count("*").alias("pages"))
+
+
+def regroup(words: DataFrame, doc: str, line: str, at: str, word: str) -> DataFrame:
+    """AGG11: (doc, text, n_lines) from recognised words: blanks dropped, a space between words, a newline between lines."""
+    kept = words.where(~is_blank(F.col(word)) & F.col(word).isNotNull())
+    one = kept.groupBy(doc, line).agg(F.expr(f"listagg({word}, ' ') within group (order by {at})").alias("one"))
+    return one.groupBy(doc).agg(F.expr(f"listagg(one, '\\n') within group (order by {line})").alias("text"), F.count("*").alias("n_lines"))
+
+
+def unknown_words(df: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """JN4: the rows whose word, in lower case, isn't in the lexicon; null words are unknown. Catalyst picks the join by size."""
+    known = lexicon.select(F.lower(word).alias("known")).distinct()
+    return df.join(known, F.lower(df[word]) == F.col("known"), "left_anti")

@@ -30,6 +30,12 @@ def sessions(df: DataFrame, keys: list[str], at: str, value: str, gap: int = 12)
     return grouped.groupBy(*keys, "group").agg(best, F.min(value).alias(value), F.count("*").alias("members"))
 
 
+def middles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """AGG7, AGG8: (keys, median, upper_median, paper): both kinds of median and the interpolated 90th percentile, nulls aside."""
+    upper = F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
+    return df.groupBy(*keys).agg(F.median(value).alias("median"), upper.alias("upper_median"), F.percentile(value, 0.9).alias("paper"))
+
+
 def smooth(p: np.ndarray, size: int) -> np.ndarray:
     return np.convolve(p, np.ones(size) / size, mode="same")
 

@@ -168,6 +168,78 @@ def refine_guard(spark, sf):
     return c.select("conv_id", similarity.each(similarity.prefer_refined)(F.col("draft"), F.col("refined")).alias("text"))
 
 
+def text_selection(spark, sf):
+    c = _t(spark, sf, "conversations").withColumn("which", F.when(F.col("turn") % 3 == 0, "text").otherwise("corrected"))
+    corrected = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("= "), F.col("text"))).otherwise("")
+    return c.select("conv_id", "turn", text.select_text(F.col("which"), F.col("text"), corrected).alias("text"))
+
+
+def progress_clamp(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select("event_id", F.round(text.progress((F.col("event_id") % 5) / 5.0, F.col("value") / 250.0, F.lit(0.2)), 6).alias("progress"))
+
+
+def word_confidence(spark, sf):
+    found = F.transform(text.words(F.col("text")), lambda w: F.struct(w.alias("text"), (F.length(w) % 7 - 1).cast("double").alias("confidence")))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.round(jobs.mean_confidence(found), 6).alias("confidence"))
+
+
+def page_confidence(spark, sf):
+    c = _t(spark, sf, "conversations").where("turn < 1 + conv_id % 2")
+    return c.groupBy("conv_id").agg(jobs.page_confidence(F.length("text").cast("double")).alias("confidence"))
+
+
+def export_status(spark, sf):
+    e = _t(spark, sf, "events")
+    fmt = F.when(F.col("event_id") % 6 == 0, "rtf").otherwise("docx")
+    status = F.when(F.col("event_type") == "view", "running").otherwise("done")
+    return e.select("event_id", jobs.export_status(fmt, F.col("user_id") % 4 != 0, status).alias("status"))
+
+
+def cap_runs(spark, sf):
+    return lines.cap_runs(_t(spark, sf, "documents"), ["doc_id"])
+
+
+def step_timings(spark, sf):
+    e = _t(spark, sf, "events")
+    ended = F.col("value") + (F.unix_micros(F.col("ts").cast("timestamp")) % 1000).cast("double")
+    return e.select("event_id", jobs.timings(F.lit(0.0), F.col("value"), ended).alias("t")).select("event_id", "t.*")
+
+
+def profile_middles(spark, sf):
+    m = series.middles(_profile(spark, sf), ["page"], "value")
+    return m.select("page", F.round("median", 6).alias("median"), "upper_median", F.round("paper", 6).alias("paper"))
+
+
+def regroup_lines(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", (F.col("event_id") % 7).alias("line_no"), "event_id", F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("word"))
+    return lines.regroup(e, "user_id", "line_no", "event_id", "word")
+
+
+def unknown_words(spark, sf):
+    said = _t(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.words(F.col("text"))).alias("word"))
+    known = _t(spark, sf, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word"))
+    return lines.unknown_words(said, known).groupBy("conv_id").agg(F.count("*").alias("n_unknown"), F.countDistinct("word").alias("n_distinct"))
+
+
+def prompt_clip(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.clip(F.col("text")).alias("draft"))
+
+
+def settings(spark, sf):
+    e = _t(spark, sf, "events")
+    on = F.when(F.col("event_id") % 4 == 0, " Off ").when(F.col("event_id") % 4 == 1, "1").when(F.col("event_id") % 4 == 2, "no")
+    model = text.first_set(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(" "), F.when(F.col("event_id") % 5 != 0, F.col("props")), F.lit("default"))
+    return e.select("event_id", text.truthy(on).alias("is_on"), model.alias("model"))
+
+
+def repeated_tail(spark, sf):
+    d = _t(spark, sf, "documents")
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    return d.select("doc_id", text.repeats_head(head, tail, "[A-Za-z]").alias("repeats"))
+
+
 _WS, _BLACK = r"[\s\x{0B}\x{85}\p{Z}]", r"[^\s\x{0B}\x{85}\p{Z}]"
 
 
@@ -232,11 +304,24 @@ def _oracle() -> dict[str, str]:
         "local_minima": f"select * from {_MINIMA}",
         "valley_sessions": f"select page, g \"group\", first(y order by value, y) y, min(value) \"value\", count(*) members from (select page, y, value, sum(new) over (partition by page order by y) g from (select *, coalesce((y - lag(y) over (partition by page order by y) > 12)::int, 1) new from {_MINIMA})) group by page, g",
         "human_bytes": f"select doc_id, case when {x} < 1024 then format('{{:.1f}} B', {x}) when {x} / 1024 < 1024 then format('{{:.1f}} KB', {x} / 1024) when {x} / 1048576 < 1024 then format('{{:.1f}} MB', {x} / 1048576) else format('{{:.1f}} GB', {x} / 1073741824) end size from documents",
+        "text_selection": "select conv_id, turn, case when turn % 3 <> 0 and conv_id % 2 = 0 and text is not null then '= ' || text else coalesce(text, '') end text from conversations",
+        "progress_clamp": "select event_id, round(least(0.999::double, greatest(0::double, (event_id % 5) / 5 + value / 250 * 0.2::double)), 6) progress from events",
+        "word_confidence": f"select conv_id, turn, round(coalesce(list_avg(list_filter(list_transform(regexp_extract_all(text, '{_BLACK}+'), lambda w: (length(w) % 7 - 1)::double), lambda c: c >= 0)), 0), 6) confidence from conversations",
+        "page_confidence": "select conv_id, case when count(*) = 1 then max(length(text))::double end confidence from conversations where turn < 1 + conv_id % 2 group by conv_id",
+        "export_status": "select event_id, case when event_id % 6 = 0 then 400 when user_id % 4 = 0 then 404 when event_type = 'view' then 409 else 200 end status from events",
+        "cap_runs": f"select doc_id, line_no, line from (select *, lag(line) over w a, lag(line, 2) over w b from {_LINES} window w as (partition by doc_id order by line_no)) where not coalesce(line = a and line = b, false)",
+        "step_timings": "select event_id, trunc(value * 1000)::bigint recognize_ms, trunc((value + r - value) * 1000)::bigint correct_ms, trunc((value + r) * 1000)::bigint total_ms from (select event_id, value, (epoch_us(ts) % 1000)::double r from events)",
+        "profile_middles": f"select page, round(quantile_cont(value, 0.5), 6) median, max(value) filter (k = n // 2 + 1) upper_median, round(quantile_cont(value, 0.9), 6) paper from (select *, row_number() over (partition by page order by value) k, count(*) over (partition by page) n from {_PROFILE}) group by page",
+        "regroup_lines": "select user_id, string_agg(one, chr(10) order by line_no) text, count(*) n_lines from (select user_id, event_id % 7 line_no, string_agg(event_type, ' ' order by event_id) one from events where event_type <> 'view' group by all) group by user_id",
+        "unknown_words": f"select conv_id, count(*) n_unknown, count(distinct word) n_distinct from (select conv_id, unnest(regexp_extract_all(text, '{_BLACK}+')) word from conversations) where lower(word) not in (select lower(unnest(regexp_extract_all(text, '{_BLACK}+'))) from benchmark) group by conv_id",
+        "prompt_clip": f"select doc_id, substr({_strip('coalesce(text, chr(32))')}, 1, 1800) draft from documents",
+        "settings": "select event_id, event_id % 4 = 1 is_on, case when event_id % 3 = 0 then event_type when event_id % 5 <> 0 then props else 'default' end model from events",
+        "repeated_tail": "select doc_id, coalesce(len(b) >= 4 and len(a) > 0 and len(list_intersect(a, b)) >= 3 and len(list_intersect(a, b)) / greatest(len(b), 1) >= 0.22, false) repeats from (select doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, (length(text) // 2)::int)), '[A-Za-z]{5,}')) a, list_distinct(regexp_extract_all(lower(substr(text, (length(text) // 2)::int + 1)), '[A-Za-z]{5,}')) b from documents)",
         "match_case": "select doc_id, case when w = upper(w) and w <> lower(w) then 'WORD' when w[1] = upper(w[1]) and w[1] <> lower(w[1]) then 'Word' else 'word' end word from (select doc_id, regexp_extract(text, '[^\\s\\x{0B}\\x{85}\\p{Z}]+') w from documents)",
     }
 
 
-_QUERIES = (word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, near_line_merge, refine_guard)
+_QUERIES = (text_selection, progress_clamp, word_confidence, page_confidence, export_status, cap_runs, step_timings, profile_middles, regroup_lines, unknown_words, prompt_clip, settings, repeated_tail, word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, near_line_merge, refine_guard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
