@@ -226,6 +226,13 @@ def prompt_clip(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.clip(F.col("text")).alias("draft"))
 
 
+_ANSWER = "case doc_id % 3 when 0 then concat('```text', chr(10), 'ТЕКСТ: ', text, chr(10), '```') when 1 then concat('Исправленный текст:', chr(10), text) else text end"
+
+
+def answer_text(spark, sf):
+    return _t(spark, sf, "documents").where("text is not null").select("doc_id", text.strip_completion(F.expr(_ANSWER)).alias("text"))
+
+
 def settings(spark, sf):
     e = _t(spark, sf, "events")
     on = F.when(F.col("event_id") % 4 == 0, " Off ").when(F.col("event_id") % 4 == 1, "1").when(F.col("event_id") % 4 == 2, "no")
@@ -277,6 +284,9 @@ def _oracle() -> dict[str, str]:
     tex = "text"
     for pattern, new in ((r"(?s)\\begin\{[a-zA-Z*]+\}.*?\\end\{[a-zA-Z*]+\}", "''"), (r"\$\$.*?\$\$|\$[^$\n]+\$", "''"), (rf"\\(?:{text.TEX_COMMANDS})(?:\s*\{{[^{{}}]*\}})*", "''"), (r"\\[a-zA-Z]+\*?", "''"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")):
         tex = f"regexp_replace({tex}, '{pattern}', {new}, 'g')"
+    answer = f"(select doc_id, {_strip(f"regexp_replace({_strip(f'({_ANSWER})')}, '(?m)^```(?:[\\p{{L}}\\p{{N}}_]+)?{_WS}*|{_WS}*```$', '', 'g')")} s from documents where text is not null)"
+    for label in text.LABELS:
+        answer = f"(select doc_id, case when starts_with(lower(s), lower('{label}')) then regexp_replace(substr(s, {len(label) + 1}), '^[ \\n:]+', '') else s end s from {answer})"
     jac = lambda c: f"list_distinct(regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '{_BLACK}+'))"
     cand = "case when doc_id % 3 = 0 then regexp_replace(text, '[A-Za-z]', '.', 'g') when doc_id % 3 = 1 then text else '' end"
     n = lambda c: f"len(regexp_extract_all({c}, '[A-Za-z]'))"
@@ -315,13 +325,14 @@ def _oracle() -> dict[str, str]:
         "regroup_lines": "select user_id, string_agg(one, chr(10) order by line_no) text, count(*) n_lines from (select user_id, event_id % 7 line_no, string_agg(event_type, ' ' order by event_id) one from events where event_type <> 'view' group by all) group by user_id",
         "unknown_words": f"select conv_id, count(*) n_unknown, count(distinct word) n_distinct from (select conv_id, unnest(regexp_extract_all(text, '{_BLACK}+')) word from conversations) where lower(word) not in (select lower(unnest(regexp_extract_all(text, '{_BLACK}+'))) from benchmark) group by conv_id",
         "prompt_clip": f"select doc_id, substr({_strip('coalesce(text, chr(32))')}, 1, 1800) draft from documents",
+        "answer_text": f"select doc_id, {_strip('s')} text from {answer}",
         "settings": "select event_id, event_id % 4 = 1 is_on, case when event_id % 3 = 0 then event_type when event_id % 5 <> 0 then props else 'default' end model from events",
         "repeated_tail": "select doc_id, coalesce(len(b) >= 4 and len(a) > 0 and len(list_intersect(a, b)) >= 3 and len(list_intersect(a, b)) / greatest(len(b), 1) >= 0.22, false) repeats from (select doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, (length(text) // 2)::int)), '[A-Za-z]{5,}')) a, list_distinct(regexp_extract_all(lower(substr(text, (length(text) // 2)::int + 1)), '[A-Za-z]{5,}')) b from documents)",
         "match_case": "select doc_id, case when w = upper(w) and w <> lower(w) then 'WORD' when w[1] = upper(w[1]) and w[1] <> lower(w[1]) then 'Word' else 'word' end word from (select doc_id, regexp_extract(text, '[^\\s\\x{0B}\\x{85}\\p{Z}]+') w from documents)",
     }
 
 
-_QUERIES = (text_selection, progress_clamp, word_confidence, page_confidence, export_status, cap_runs, step_timings, profile_middles, regroup_lines, unknown_words, prompt_clip, settings, repeated_tail, word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, near_line_merge, refine_guard)
+_QUERIES = (text_selection, progress_clamp, word_confidence, page_confidence, export_status, cap_runs, step_timings, profile_middles, regroup_lines, unknown_words, prompt_clip, answer_text, settings, repeated_tail, word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, near_line_merge, refine_guard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
