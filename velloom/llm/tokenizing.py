@@ -46,7 +46,7 @@ class Encoder:
         new = list({s: None for c in cut for s in c if s not in memo})
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            found = self.tokenizer.encode_batch([s.decode() for s in some] if self.words else some, add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([s.decode() for s in some] if self.words else some, add_special_tokens=False)
             for s, e in zip(some, found):
                 (memo if len(memo) < MEMO and len(s) <= LONGEST else rare)[s] = np.asarray(e.ids, "<u4").tobytes()
         if rare:
