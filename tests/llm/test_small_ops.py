@@ -18,7 +18,7 @@ DDL = "doc_id long, text string, source string, size string, key string, rank st
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
-    words = ["the", "Straße", "l'été", "don't", "WE'RE", "x1y22", " nb", "日本語", "…", "<|endoftext|>", "á", "\x1c", "ΑΣ", "İ", "!!", "3.14"]
+    words = ["the", "Straße", "l'été", "don't", "WE'RE", "x1y22", " nb", "日本語", "…", "<|endoftext|>", "á", "\x1c", "ΑΣ", "İ", "!!", "3.14", "İ.", "end.", "\u00e9t\u00e9!?", "e\u0301,", "<|x.", "a<|endoftext|>."]
     seps = [" ", "  ", "\n", " \n ", "\t", " ", "\r\n"]
     out = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.choice([1, 5, 40, 400]))) for _ in range(60)]
     return [*out, None, "", " ", "\n\n", "  lead", "trail  ", "b" * 5000, "word " * 9000, out[0], out[0], out[1]]
