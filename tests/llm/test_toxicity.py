@@ -59,3 +59,18 @@ def test_shared_counts_are_continuations(spark):
     # b alone: after a and after the start, out of 7 different pairs (b, a, c and the end)
     n = len({(x, y) for w in vocab for x, y in zip("^" + w, w + "$")})
     assert abs(lower[0][0][full[0][at]] - (2 - 0.75) / n) < 1e-3
+
+
+def test_every_ngram_has_its_own_count(spark):
+    rng = random.Random(3)
+    vocab = list({"".join(chr(rng.choice((0x61, 0x430, 0x4E00)) + rng.randrange(26)) for _ in range(8)) for _ in range(120_000)})
+    whole = toxicity.shared_counts(spark.createDataFrame([(w, 1) for w in vocab], "word string, n long"))
+    longer = {x for w in vocab for p in ["\x02" * 4 + w + "\x03"] for x in (p[i : i + 5] for i in range(len(p) - 4))}
+    n, total = {}, {}
+    for x in longer:
+        n[x[1:]] = n.get(x[1:], 0) + 1
+    for g, k in n.items():
+        total[g[:-1]] = total.get(g[:-1], 0) + k
+    got = {r["key"]: r["value"] for r in whole[3][0].table.collect()}
+    assert len(n) > 1 << 19 and got.keys() == n.keys()
+    assert all(abs(got[g] - (n[g] - 0.75) / (total[g[:-1]] + 1e-3)) < 1e-12 for g in n)

@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, saved, utf8
+from .shared import by_batch, saved, shared_dir, utf8
 
-#: Characters of an n-gram; slots of a table of hashed n-grams; discount of counts.
-ORDER, SLOTS, DISCOUNT = 5, 1 << 19, 0.75
+#: Characters of an n-gram; discount of counts.
+ORDER, DISCOUNT = 5, 0.75
 #: Labelled texts that are learnt from at most, those of each class with the least hash of doc_id.
-LABELLED = 4000
-#: Longest word that is scored as one, in characters; longer ones are scored in pieces. Words that a worker remembers.
-LONGEST, MEMO = 40, 400_000
-#: Words whose n-grams are made in one go.
-AT_ONCE = 8192
+LABELLED = 8000
+#: Longest word that is scored as one, in characters; longer ones are scored in pieces.
+LONGEST = 40
+#: Words whose n-grams are made in one go; different words and bytes of text after which a chunk of rows ends.
+AT_ONCE, CHUNK_WORDS, CHUNK_BYTES = 8192, 200_000, 16_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -34,111 +35,166 @@ def words(data: bytes) -> list[str]:
     return found
 
 
-def grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of 1..ORDER characters (rows) that end at each character of each word, its end included, and the word of each.
+def grams(vocabulary: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """The n-grams of 1..ORDER characters that end at each character of each word, its end included, and the word of each.
 
-    A word starts with ORDER - 1 marks, so the shorter n-grams of a column are the suffixes of the longest one. The third array
-    holds the hashes of the contexts of 0..ORDER-1 characters.
+    A word starts with ORDER - 1 marks, so the shorter n-grams of a place are the suffixes of the longest one. The third list holds
+    the contexts of 0..ORDER-1 characters.
     """
     joined = "".join("\x02" * (ORDER - 1) + w + "\x03" for w in vocabulary)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter((len(w) + ORDER for w in vocabulary), np.int64, len(vocabulary))
     start = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(vocabulary)), lengths)
     at = np.flatnonzero(np.arange(len(code)) - start[word] >= ORDER - 1)
-    mix = lambda h, n: ((h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    full, context = [], [np.zeros(len(at), np.uint64)]
-    h, c = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for k in range(ORDER):
-        h = mix(h + code[at - k] + np.uint64(1), 7)
-        full.append(h ^ np.uint64(k + 1))
-        if k + 1 < ORDER:
-            c = mix(c + code[at - k - 1] + np.uint64(1), 11)
-            context.append(c ^ np.uint64(k + 1))
-    shift = np.uint64(64 - (SLOTS.bit_length() - 1))
-    slot = lambda rows: (np.array(rows) * np.uint64(0x94D049BB133111EB) >> shift).astype(np.int64)
-    return slot(full), word[at], slot(context)
-
-
-def tables(slot: np.ndarray, context: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """What an order of the model needs: the discounted share of each n-gram in its context, and each context's weight of the order below."""
-    total, kinds = np.bincount(context, n, SLOTS), np.bincount(context, minlength=SLOTS)
-    own = np.bincount(slot, np.maximum(n - DISCOUNT, 0) / (total[context] + prior), SLOTS)
-    below = (np.minimum(DISCOUNT * kinds, total) + prior) / (total + prior)
-    return np.minimum(own, 1).astype(np.float16), below.astype(np.float16)
+    window = code[at[:, None] + np.arange(1 - ORDER, 1)]
+    cut = lambda a, b: np.ascontiguousarray(window[:, a:b]).view(f"<U{b - a}")[:, 0] if a < b else np.full(len(at), "")
+    return [cut(ORDER - 1 - k, ORDER) for k in range(ORDER)], word[at], [cut(ORDER - 1 - k, ORDER - 1) for k in range(ORDER)]
 
 
-class Model:
-    """Two Kneser-Ney models of characters within words that share every order below the highest.
+def longest(vocabulary: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The n-grams of ORDER characters of the words and the place of each one's word, AT_ONCE words at a time."""
+    for i in range(0, len(vocabulary), AT_ONCE):
+        full, word, _ = grams(vocabulary[i : i + AT_ONCE])
+        yield full[-1].tolist(), word + i
 
-    The highest order holds each class's own counts less a discount; what the discount takes goes to the shared distribution of the
-    lower orders, whose counts are Kneser-Ney continuation counts over the words of the whole corpus. An expression that a class
-    has seen rarely or never therefore takes its probability from the corpus, alike for both classes. All tables are hashed into
-    SLOTS slots, so a model's size (12 tables of SLOTS half-precision numbers) doesn't depend on the corpus.
-    """
 
-    def __init__(self, lower: list[tuple[np.ndarray, np.ndarray]], classes: list[tuple[np.ndarray, np.ndarray]]):
-        self.lower, self.classes = lower, classes
+class Numbers:
+    """A number for each key, as a distributed table; ``default`` for keys that it lacks."""
 
-    def ratios(self, vocabulary: list[str]) -> np.ndarray:
-        """The log-likelihood ratio of toxic to ordinary, of each word."""
-        full, word, context = grams(vocabulary)
-        share = np.full(full.shape[1], 1e-4)
-        for k, (own, below) in enumerate(self.lower):
-            share = own[full[k]] + below[context[k]].astype(np.float64) * share
-        ordinary, toxic = (np.log(own[full[-1]] + below[context[-1]].astype(np.float64) * share) for own, below in self.classes)
-        return np.bincount(word, toxic - ordinary, len(vocabulary))
+    def __init__(self, table: DataFrame, key: str, value: str, default: float):
+        self.table, self.default = table.select(F.col(key).alias("key"), F.col(value).alias("value")), default
 
+    def __getitem__(self, key: str) -> float:
+        found = self.table.where(F.col("key") == str(key)).first()
+        return self.default if found is None else found["value"]
 
-def scorer_of(known: Broadcast) -> Scorer:
-    """This worker's scorer for a broadcast model, with the words that it has met in earlier tasks."""
-    model = known.value
-    return kept_by_worker(("toxicity", _Same(model)), lambda: Scorer(model))
+    def onto(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with the numbers of its column ``key`` as column ``name``."""
+        return df.join(self.table.toDF(key, name), key, "left").fillna(self.default, [name])
 
 
-class _Same:
-    """Equal only to a wrapper of the very same object; holds it, so that its identity isn't given to another."""
+def tables(counted: DataFrame, order: int, prior: float) -> tuple[Numbers, Numbers]:
+    """What an order of the model needs: the discounted share of each n-gram in its context, and each context's weight of the order below.
 
-    def __init__(self, what: object):
-        self.what = what
+    ``counted`` has gram and n, one row for each n-gram of ``order`` characters.
+    """
+    context = F.substring("gram", 1, order - 1).alias("context")
+    sums = saved(counted.groupBy(context).agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("kinds")))
+    below = sums.select("context", ((F.least(DISCOUNT * F.col("kinds"), "total") + prior) / (F.col("total") + prior)).alias("below"))
+    own = counted.select("gram", "n", context).join(sums, "context")
+    own = own.select("gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / (F.col("total") + prior)).alias("own"))
+    return Numbers(own, "gram", "own", 0.0), Numbers(below, "context", "below", 1.0)
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Same) and other.what is self.what
 
-    def __hash__(self) -> int:
-        return id(self.what)
+@dataclass
+class Model:
+    """Two Kneser-Ney models of characters within words that share every order below the highest.
+
+    The highest order holds each class's own counts less a discount; what the discount takes goes to the shared distribution of the
+    lower orders, whose counts are Kneser-Ney continuation counts over the words of the whole corpus. An expression that a class
+    has seen rarely or never therefore takes its probability from the corpus, alike for both classes. Every n-gram has its own row in
+    distributed tables, which grow with the corpus; ``corpus`` holds the ratios of its n-grams of ORDER characters.
+    """
+
+    lower: list[tuple[Numbers, Numbers]]
+    classes: list[tuple[Numbers, Numbers]]
+    corpus: DataFrame | None = None
+
+    def ratios(self, wanted: DataFrame) -> DataFrame:
+        """(gram, ratio): the log-likelihood ratio of toxic to ordinary of each n-gram of ``wanted``, which are distinct."""
+        share = None
+        for k, (own, below) in enumerate(self.lower, 1):
+            x = wanted.select(F.right("gram", F.lit(k)).alias("gram")).distinct()
+            x = x.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.right("gram", F.lit(k - 1)).alias("suffix"))
+            x = below.onto(own.onto(x, "gram", "own"), "context", "below")
+            x = x.withColumn("share", F.lit(1e-4)) if share is None else x.join(share, "suffix")
+            share = saved(x.select(F.col("gram").alias("suffix"), (F.col("own") + F.col("below") * F.col("share")).alias("share")))
+        x = wanted.select("gram", F.substring("gram", 1, ORDER - 1).alias("context"), F.right("gram", F.lit(ORDER - 1)).alias("suffix")).join(share, "suffix")
+        for y, (own, below) in enumerate(self.classes):
+            x = below.onto(own.onto(x, "gram", f"own{y}"), "context", f"below{y}")
+        ordinary, toxic = (F.log(F.col(f"own{y}") + F.col(f"below{y}") * F.col("share")) for y in (0, 1))
+        return x.select("gram", (toxic - ordinary).alias("ratio"))
 
 
 @dataclass
 class Learnt:
-    """A model on the executors, and the weights of its features (None where one class was never seen)."""
+    """A model, and the weights of its features (None where one class was never seen)."""
 
-    model: Broadcast
+    model: Model
     weights: list[float] | None
 
 
-class Scorer:
-    """A model with the ratios of words that this worker has met."""
-
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """Mean ratio a word, the same of the highest tenth and thirtieth (one word at least), logarithm of words + 1."""
-        cut = [words(t) for t in texts]
-        new = list({w for c in cut for w in c if w not in self.memo})
-        if len(new) + len(self.memo) > MEMO:
-            self.memo, new = {}, list({w for c in cut for w in c})
-        for i in range(0, len(new), AT_ONCE):
-            self.memo.update(zip(new[i : i + AT_ONCE], self.model.ratios(new[i : i + AT_ONCE]).tolist()))
-        out = np.zeros((len(texts), 4))
-        for k, c in enumerate(cut):
-            if c:
-                r = np.fromiter(map(self.memo.__getitem__, c), np.float64, len(c))
+def features(rows: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``rows`` but the last, which is the text, and f0..f3 of that text.
+
+    These are the mean ratio a word, the same of the highest tenth and thirtieth (one word at least), and the logarithm of words + 1.
+    Rows are cut into chunks and written once: each row with the places of its words in its chunk's vocabulary, and each chunk
+    with its vocabulary and its different n-grams. These meet their ratios by n-gram, and the ratios meet the rows by chunk.
+    """
+    spark, kept = rows.sparkSession, rows.schema.fields[:-1]
+    names = [f.name for f in kept]
+    columns = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, size, types = uuid.uuid4().int >> 65, {}, 0, []
+
+        def record(n, vocabulary=None, gram=None, places=None, columns=None):
+            own = [pa.array([chunk] * n, pa.int64()), vocabulary or pa.nulls(n, pa.list_(pa.string())), gram or pa.nulls(n, pa.string()), places or pa.nulls(n, pa.binary())]
+            return pa.record_batch([*own, *(columns or [pa.nulls(n, t) for t in types])], names=["chunk", "vocabulary", "gram", "places", *names])
+
+        def end():
+            found = {g for some, _ in longest(list(ids)) for g in some}
+            yield record(1, vocabulary=pa.array([list(ids)], pa.list_(pa.string())))
+            held = list(found)
+            for i in range(0, len(held), 50_000):
+                yield record(len(held[i : i + 50_000]), gram=pa.array(held[i : i + 50_000], pa.string()))
+
+        for batch in batches:
+            types, first, places = [c.type for c in batch.columns[:-1]], 0, []
+            for i, text in enumerate(utf8(batch.column(len(kept))), 1):
+                at = np.sort(np.array([ids.setdefault(w, len(ids)) for w in words(text)], np.int32))
+                places.append(zlib.compress(np.diff(at, prepend=np.int32(0)).tobytes(), 1))  # their order doesn't matter
+                size += len(text)
+                full = len(ids) > CHUNK_WORDS or size > CHUNK_BYTES
+                if full or i == batch.num_rows:
+                    yield record(i - first, places=pa.array(places, pa.binary()), columns=[c.slice(first, i - first) for c in batch.columns[:-1]])
+                    first, places = i, []
+                if full:
+                    yield from end()
+                    chunk, ids, size = uuid.uuid4().int >> 65, {}, 0
+        if size or ids or types:
+            yield from end()
+
+    path = f"{shared_dir(spark)}/toxicity-{uuid.uuid4().hex}"
+    schema = f"chunk long, vocabulary array<string>, gram string, places binary{columns}"
+    rows.mapInArrow(cut, schema).write.parquet(path)
+    all_ = spark.read.schema(schema).parquet(path)
+    wanted = all_.where("gram is not null").select("chunk", "gram")
+    ratios = model.corpus
+    unknown = saved(wanted.select("gram").distinct().join(ratios, "gram", "left_anti"))
+    if not unknown.isEmpty():
+        ratios = ratios.union(model.ratios(unknown))
+    ratios = wanted.withColumnRenamed("chunk", "of").join(ratios, "gram")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        ratio = dict(zip(right["gram"].to_pylist(), right["ratio"].to_pylist()))
+        vocabulary = next(v for v in left["vocabulary"].to_pylist() if v is not None)
+        of_word = np.zeros(len(vocabulary))
+        for some, word in longest(vocabulary):
+            of_word += np.bincount(word, np.fromiter(map(ratio.__getitem__, some), np.float64, len(some)), len(vocabulary))
+        own = left.filter(left["places"].is_valid())
+        out = np.zeros((own.num_rows, 4))
+        for k, packed in enumerate(own["places"].to_pylist()):
+            r = of_word[np.cumsum(np.frombuffer(zlib.decompress(packed), np.int32))]
+            if len(r):
                 a, b = max(1, len(r) // 10), max(1, len(r) // 30)
                 high = np.partition(r, (-a, -b))
-                out[k] = r.mean(), high[-a:].mean(), high[-b:].mean(), np.log1p(len(r))
-        return out
+                out[k] = r.mean(), np.sort(high[-a:]).mean(), np.sort(high[-b:]).mean(), np.log1p(len(r))
+        return pa.table([*(own[n] for n in names), *(pa.array(c) for c in out.T)], names=[*names, "f0", "f1", "f2", "f3"])
+
+    here = all_.where("gram is null").select("chunk", "vocabulary", "places", *names)
+    return here.groupBy("chunk").cogroup(ratios.groupBy("of")).applyInArrow(measure, f"{columns[2:]}{', ' if kept else ''}f0 double, f1 double, f2 double, f3 double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[float]:
@@ -169,48 +225,40 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over every whole text."""
+def corpus_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram): the different n-grams of ORDER characters of the words of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: set[str] = set()
         for batch in batches:
             for text in utf8(batch.column(0)):
                 held.update(words(text))
-                if len(held) > 200_000:
+                if len(held) > CHUNK_WORDS:
                     yield done(held)
-                    held = Counter()
+                    held = set()
         if held:
             yield done(held)
 
-    done = lambda c: pa.record_batch([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    done = lambda held: pa.record_batch([pa.array(list({g for some, _ in longest(list(held)) for g in some}), pa.string())], names=["gram"])
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram string").distinct()
 
 
-def shared_counts(vocabulary: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+def shared_counts(vocabulary: DataFrame) -> list[tuple[Numbers, Numbers]]:
     """The tables of each order below the highest, from continuation counts.
 
-    The continuation count of an n-gram is the number of different n-grams one character longer that end in it. Each task makes the
-    distinct (longer, n-gram, context) slots of its words; they meet by slot, and the driver gets about SLOTS rows an order at most.
+    The continuation count of an n-gram is the number of different n-grams one character longer that end in it.
     """
+    return lower_orders(corpus_grams(vocabulary, "word"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vocab = batch.column(0).to_pylist()
-            if not vocab:
-                continue
-            full, _, context = grams(vocab)
-            for k in range(ORDER - 1):
-                rows = np.unique(np.stack([full[k + 1], full[k], context[k]]), axis=1).astype(np.int32)
-                yield pa.record_batch([pa.array(np.full(rows.shape[1], k, np.int32)), *(pa.array(r) for r in rows)], names=["k", "longer", "slot", "context"])
-
-    seen = vocabulary.select("word").mapInArrow(run, "k int, longer int, slot int, context int").distinct()
-    kinds = saved(seen.groupBy("k", "slot", "context").agg(F.count("*").cast("int").alias("n")))
+
+def lower_orders(longer: DataFrame) -> list[tuple[Numbers, Numbers]]:
+    """``shared_counts`` from the different n-grams of ORDER characters."""
     lower = []
-    for k in range(ORDER - 1):  # an order at a time, so that the driver holds one
-        one = kinds.where(F.col("k") == k).select("slot", "context", "n").toPandas().sort_values(["slot", "context"])
-        lower.append(tables(one["slot"].to_numpy(), one["context"].to_numpy(), one["n"].to_numpy(np.float64), 1e-3))
-    return lower
+    for k in reversed(range(1, ORDER)):
+        counted = saved(longer.groupBy(F.right("gram", F.lit(k)).alias("shorter")).agg(F.count("*").alias("n"))).withColumnRenamed("shorter", "gram")
+        lower.append(tables(counted, k, 1e-3))
+        longer = counted
+    return lower[::-1]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Learnt:
@@ -235,32 +283,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 if h % 4:
                     part[y].update(words(text))
         for y, c in part.items():
-            vocab, n = list(c), np.fromiter(c.values(), np.int64, len(c))
-            for i in range(0, len(vocab), AT_ONCE):
-                full, word, context = grams(vocab[i : i + AT_ONCE])
-                yield pa.record_batch([pa.array(np.full(len(word), y, np.int32)), pa.array(full[-1].astype(np.int32)), pa.array(context[-1].astype(np.int32)), pa.array(n[i : i + AT_ONCE][word])], names=["y", "slot", "context", "n"])
+            vocab, n, total = list(c), np.fromiter(c.values(), np.int64, len(c)), Counter()
+            for some, word in longest(vocab):
+                for g, m in zip(some, n[word].tolist()):
+                    total[g] += m
+            yield pa.record_batch([pa.array([y] * len(total), pa.int32()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["y", "gram", "n"])
 
-    counted = texts.mapInArrow(count, "y int, slot int, context int, n long").groupBy("y", "slot", "context").agg(F.sum("n").alias("n")).toPandas().sort_values(["y", "slot", "context"])
+    counted = saved(texts.mapInArrow(count, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")))
     # both classes weigh alike: equal totals, so that what neither has seen often says nothing
-    low = min(counted.loc[counted["y"] == y, "n"].sum() for y in (0, 1))
-    classes = []
-    for y in (0, 1):
-        own = counted[counted["y"] == y]
-        classes.append(tables(own["slot"].to_numpy(), own["context"].to_numpy(), own["n"].to_numpy(np.float64) * (low / max(1, own["n"].sum())), 1.0))
-    del counted
-    known = docs.sparkSession.sparkContext.broadcast(Model(shared_counts(corpus_words(docs, text_col)), classes))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(known)
-        for batch in batches:
-            x = scorer.features(list(utf8(batch.column(1))))
-            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", "f0", "f1", "f2", "f3"])
-
-    fit = texts.where("pmod(h, 4) = 0").select("y", "text").mapInArrow(measure, "y int, f0 double, f1 double, f2 double, f3 double").toPandas().sort_values(["y", "f0", "f1", "f2", "f3"])
+    sums = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if len(sums) < 2:
+        return Learnt(Model([], []), None)
+    classes = [tables(counted.where(F.col("y") == y).select("gram", (F.col("n") * (min(sums.values()) / sums[y])).alias("n")), ORDER, 1.0) for y in (0, 1)]
+    seen = saved(corpus_grams(docs, text_col))
+    model = Model(lower_orders(seen), classes)
+    model.corpus = saved(model.ratios(seen))
+    fit = features(texts.where("pmod(h, 4) = 0").select("y", "text"), model).toPandas().sort_values(["y", "f0", "f1", "f2", "f3"])
     weights = None
     if fit["y"].nunique() == 2:
         weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["y"].to_numpy(), np.array([n / max(1, min(n, labelled)) for n in all_]))
-    return Learnt(known, weights)
+    return Learnt(model, weights)
 
 
 def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -269,27 +311,20 @@ def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str
     A null text is an empty one; an empty text gets the probability at a ratio of 0; repeated rows score alike; a null doc_id is
     kept; an empty table gives an empty result.
     """
-    known, weights = model.model, model.weights
-    keep = keep or []
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    kept = [f for f in picked.schema.fields[2:]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(known)
-        for batch in batches:
-            texts, x, at = utf8(batch.column(1)), [], 0
-            while at < batch.num_rows:
-                some, n = [], 0
-                while at + len(some) < batch.num_rows and n < 4_000_000:
-                    some.append(next(texts))
-                    n += len(some[-1])
-                x.append(scorer.features(some))
-                at += len(some)
-            p = probability(np.concatenate(x), weights) if weights and x else np.full(batch.num_rows, 0.5)
-            yield pa.record_batch([batch.column(0), pa.array(p), *(batch.column(2 + i) for i in range(len(kept)))], names=["doc_id", "score", *(f.name for f in kept)])
-
-    schema = "doc_id long, score double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-    scored = picked.mapInArrow(run, schema)
+    weights, keep = model.weights, keep or []
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    kept = picked.schema.fields[1:-1]
+    if weights:
+        measured = features(picked, model.model)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            p = probability(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[-4:]]), weights)
+            return pa.record_batch([batch.column(0), pa.array(p), *batch.columns[1:-4]], names=["doc_id", "score", *(f.name for f in kept)])
+
+        schema = "doc_id long, score double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
+        scored = measured.mapInArrow(by_batch(run), schema)
+    else:
+        scored = picked.withColumn("score", F.lit(0.5))
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f.name).alias(c) for f, c in zip(kept, keep)])
 
 
