@@ -50,3 +50,21 @@ def test_table(spark, table):
     whole = pii.pseudonyms(spark.read.parquet(f"{d}/documents.parquet"), b"k", spans_col="found")
     assert whole.columns == ["doc_id", "text", "spans", "c0", "found"]
     assert pii.op1_pii(spark, table([], DDL)).collect() == []
+
+
+def test_values_beside_other_digits():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for text, value, kind in [(f"pay {card} 123", card, "card"), ("item 12 4111111111111111", "4111111111111111", "card"), (f"to {iban} EUR", iban, "iban"), ("call +44 20 7946 0958 12345678", "+44 20 7946 0958", "phone")]:
+        new, spans = pii.pseudonymise(text, C)
+        assert value not in new and [s["kind"] for s in spans] == [kind], text
+        before, after = text.split(value)
+        assert new.startswith(before) and new.endswith(after) and new[spans[0]["start"] : spans[0]["stop"]] == new[len(before) : len(new) - len(after)]
+
+
+def test_long_secrets_whole():
+    rng = random.Random(4)
+    value = "".join(rng.choice("abcdefghijkXYZ0123456789_-.") for _ in range(600))
+    new, spans = pii.pseudonymise(f"token={value} end", C)
+    got = new[spans[0]["start"] : spans[0]["stop"]]
+    assert len(spans) == 1 and len(got) == 600 and not any(value[i : i + 12] in new for i in range(589))
+    assert pii.pseudonymise(new, C, back=True)[0] == f"token={value} end"

@@ -17,7 +17,7 @@ LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: What may hold a value; each match is validated before anything is replaced.
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))
-    |(?P<secret>(?i:(?:token|api[_-]?key|password|passwd|secret)["']?\s{0,3}[:=]\s{0,3}["']?)(?P<value>[A-Za-z0-9_\-./+]{12,256}))
+    |(?P<secret>(?i:(?:token|api[_-]?key|password|passwd|secret)["']?\s{0,3}[:=]\s{0,3}["']?)(?P<value>[A-Za-z0-9_\-./+]{12,}))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w]))
     |(?P<date>(?<![\w.\-/])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![\w\-/]|\.[0-9]))
@@ -26,6 +26,10 @@ PATTERN = re.compile(
     |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))""",
     re.X,
 )
+#: Where a match that fails may end sooner; what the search passes over when no end will do.
+BREAK, TOKEN = re.compile("[ .-]+"), re.compile("[^A-Za-z0-9]*[A-Za-z0-9]+")
+#: Characters of a secret that are permuted in one go.
+PIECE = 128
 ANY = re.compile(r"[0-9@]|(?i:token|key|passw|secret)")
 
 
@@ -165,23 +169,39 @@ def _email(s: str, c: Cipher, back: bool) -> str | None:
 
 
 def _secret(s: str, c: Cipher, back: bool) -> str | None:
-    return c.text(s, "secret", back)
+    return "".join(c.text(s[i : i + PIECE], f"secret{i or ''}", back) for i in range(0, len(s), PIECE))
 
 
 KINDS: dict[str, Callable[[str, Cipher, bool], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
 
 
+def _values(text: str, cipher: Cipher, back: bool) -> Iterator[tuple[str, int, int, str]]:
+    """(kind, start, stop, pseudonym) of each value.
+
+    A match that fails is tried again up to each separator in it, longest first; when none will do, the search goes on one token later.
+    """
+    at = 0
+    while m := PATTERN.search(text, at):
+        at = TOKEN.match(text, m.start()).end()
+        for end in [m.end(), *reversed([x.start() for x in BREAK.finditer(text, m.start() + 1, m.end())])]:
+            s = m if end == m.end() else PATTERN.match(text, m.start(), end)
+            if not s or s.end() != end:
+                continue
+            kind = "secret" if s["value"] else s.lastgroup
+            a, b = s.span("value") if s["value"] else s.span()
+            new = KINDS[kind](text[a:b], cipher, back)
+            if new is not None:
+                yield kind, a, b, new
+                at = end
+                break
+
+
 def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and where they stand in it: kind, start, stop."""
     if not ANY.search(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in PATTERN.finditer(text):
-        kind = "secret" if m["value"] else m.lastgroup
-        a, b = m.span("value") if m["value"] else m.span()
-        new = KINDS[kind](text[a:b], cipher, back)
-        if new is None:
-            continue
+    for kind, a, b, new in _values(text, cipher, back):
         out += [text[at:a], new]
         size += a - at
         spans.append({"kind": kind, "start": size, "stop": size + len(new)})
@@ -196,7 +216,8 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: s
     Found and validated: cards (Luhn), IBANs (modulo 97), phone numbers (+ and country code), US social security numbers, IPv4
     addresses, dates from 1900 to 2099, email addresses, labelled secrets. Each is permuted by a keyed Feistel network among the
     values of its own format, so that separators, length and check digits hold, equal values have equal pseudonyms in all documents,
-    different ones different ones, and the key alone leads back. A date written with one digit for day or month gets two.
+    different ones different ones, and the key alone leads back. A date written with one digit for day or month gets two. Where a value
+    has digits beside it, its pseudonym may read as valid together with them; then the way back needs the spans as well.
 
     A null text stays null with no spans; empty texts, repeated rows, null ids and all other columns pass through; an empty table gives
     an empty result. Work is row by row: nothing is shuffled.
