@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .shared import saved, shared_dir, utf8
+from .shared import parts, saved, shared_dir, utf8
 from .tokenizing import encoder, vocabulary
 from .tokenizing import version as version_of
 
-AT_ONCE = 4_000_000
+#: Bytes that are encoded in one go; rows of a partition that is encoded.
+AT_ONCE, PER_PART = 4_000_000, 20_000
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -33,6 +34,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the first row of each digest of rows sorted by digest."""
+    last = None
+    for batch in batches:
+        keep = []
+        for i, d in enumerate(batch.column(0).to_pylist()):
+            if d != last:
+                keep.append(i)
+                last = d
+        if keep:
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep))
+
+
 def stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     """The counts that the cache holds for this tokenizer version; None without a cache."""
     try:
@@ -47,8 +61,8 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``; counts of contents new to ``cache`` are appended to it.
 
     The content (null as empty; nothing else may be normalised without changing counts) is known by its SHA-256, the tokenizer by the
-    digest of its file and library version. Contents that the cache lacks meet by digest, after each task has dropped its own
-    repeats, and each is encoded once. The cache holds one row for a digest and version as long as writers take turns.
+    digest of its file and library version. Contents that the cache lacks meet by digest, after each task has dropped repeats
+    of its own, and the sorted ones of a partition are each encoded once. The cache holds one row for a digest and version as long as writers take turns.
 
     Null and empty texts count 0; repeated rows are counted alike; a null doc_id is kept; an empty table gives an empty result;
     other columns are ignored.
@@ -63,7 +77,7 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, False)
-        for batch in _distinct(batches):
+        for batch in _runs(batches):
             counts, some, n, texts = [], [], 0, utf8(batch.column(1))
             for i, x in enumerate(texts, 1):
                 some.append(x)
@@ -76,7 +90,7 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     contents = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(_distinct, "digest binary, text string")
     if known is not None:
         contents = contents.join(known.select("digest"), "digest", "left_anti")
-    missed = contents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").mapInArrow(encode, CACHE)
+    missed = contents.repartition(parts(spark, keyed.count(), PER_PART), "digest").sortWithinPartitions("digest").mapInArrow(encode, CACHE)
     missed.write.mode("append").parquet(cache)
     return keyed.join(stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
 
