@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from velloom.llm.mixing import mix
 from velloom.llm.packing import pack
 from velloom.llm.pii import KEY, pseudonyms
-from velloom.llm.shared import saved, shared_dir
+from velloom.llm.shared import shared_dir
 from velloom.llm.simhash import near_duplicates
 from velloom.llm.toxicity import learn, score
 
@@ -26,14 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest doc_id; of repeated rows one."""
-    found = near_duplicates(docs)
-    stay = saved(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("n")))
-    kept = docs.join(stay.select("stays"), docs.doc_id.eqNullSafe(F.col("stays")), "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").drop("row_of_id")
-    return kept
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id (null last), of several such the first."""
+    rows = docs.withColumn("dup_row", F.monotonically_increasing_id())
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dup_row").alias("doc_id"), "text")
+    stay = near_duplicates(named).where("doc_id = component_id").select("doc_id.dup_row")
+    return rows.join(stay, "dup_row", "left_semi").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    t = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (1, t[5]), (9, t[5]), (9, t[6]), (None, t[7]), (4, t[7]), (4, t[7])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/rows")
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/rows"), str(tmp_path))
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (1, t[5]), (9, t[6]), (4, t[7])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

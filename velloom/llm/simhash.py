@@ -39,14 +39,16 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, as a signed 64-bit integer."""
+    """(doc_id, fp): the fingerprint of each whole text, as a signed 64-bit integer. A struct may stand for an id, else it is a long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(x) for x in utf8(batch.column(1))), np.uint64, batch.num_rows)
         return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(by_batch(run), "doc_id long, fp long")
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    id_type = id_type if id_type.startswith("struct") else "long"
+    picked = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(by_batch(run), f"doc_id {id_type}, fp long")
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
