@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -48,29 +51,99 @@ def test_empty(spark, table):
     assert {r.score for r in toxicity.op5_toxicity(spark, table(rows, DDL)).collect()} == {0.5}
 
 
-def test_shared_counts_are_continuations(spark):
-    vocab = ["ab", "cab", "b"]
-    lower = toxicity.shared_counts(spark.createDataFrame([(w, 1) for w in vocab], "word string, n long"))
-    full, word, context = toxicity.grams(vocab)
-    at = [i for i, w in enumerate(word) if w == 0][1]  # the b of ab
-    # after a stands only b, in ab after the start and in cab after c: two continuations of one kind
-    own, below = lower[1]
-    assert abs(own[full[1][at]] - (2 - 0.75) / 2) < 1e-3 and abs(below[context[1][at]] - 0.75 / 2) < 1e-3
-    # b alone: after a and after the start, out of 7 different pairs (b, a, c and the end)
-    n = len({(x, y) for w in vocab for x, y in zip("^" + w, w + "$")})
-    assert abs(lower[0][0][full[0][at]] - (2 - 0.75) / n) < 1e-3
+def normal(text):
+    return " " * 4 + " ".join(w[i : i + 40] for w in re.findall(r"\w+", text.lower()) for i in range(0, len(w), 40)) + " "
 
 
-def test_every_ngram_has_its_own_count(spark):
+def fives(text):
+    return [text[i : i + 5] for i in range(len(text) - 4)]
+
+
+def kneser_ney(texts, toxic, ordinary):
+    """Probability of a character after a context by class, straight from the definition."""
+    longer = {g for t in texts for g in fives(normal(t))}
+    counts = {}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in longer)
+        longer = set(counts[k])
+
+    def discounted(c, gram, prior, below):
+        inside = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        total = sum(inside.values())
+        taken = sum(min(n, 0.75) for n in inside.values())
+        return (max(c.get(gram, 0) - 0.75, 0) + (taken + prior) * below) / (total + prior)
+
+    def share(gram):
+        if not gram:
+            return 1 / len(counts[1])
+        return discounted(counts[len(gram)], gram, 1e-3, share(gram[1:]))
+
+    own = [Counter(g for t in some for g in fives(normal(t))) for some in (ordinary, toxic)]
+    least = min(sum(c.values()) for c in own)
+    own = [{g: n * (least / sum(c.values())) for g, n in c.items()} for c in own]
+    return lambda y, gram: discounted(own[y], gram, 1.0, share(gram[1:]))
+
+
+def counted(spark, toxic, ordinary):
+    own = [Counter(g for t in some for g in fives(normal(t))) for some in (ordinary, toxic)]
+    least = min(sum(c.values()) for c in own)
+    return spark.createDataFrame([(y, g, n * (least / sum(c.values()))) for y, c in enumerate(own) for g, n in c.items()], "y int, gram string, n double")
+
+
+def test_ratios_against_kneser_ney_by_definition(spark):
+    toxic, ordinary = ["you vex me", "a vexing grulf", "ab ab"], ["a bee met me", "you met a bee", "mé ab 水"]
+    texts = [*toxic, *ordinary, "bees and vexed grulfs", "水 水火 ab"]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, "", texts[0]]], "text string")
+    p = kneser_ney(texts, toxic, ordinary)
+    table = toxicity.Table(*toxicity.class_ratios(counted(spark, toxic, ordinary), toxicity.corpus_grams(docs)))
+    for text in [*texts, "a text of none", "q", "you vex a bee met grulfs 火", "x" * 95]:
+        rows = [math.log(p(1, g) / p(0, g)) for g in fives(normal(text))]
+        words, now = [], 0.0
+        for r, c in zip(rows, normal(text)[4:]):
+            now += r
+            if c == " ":
+                words.append(now)
+                now = 0.0
+        top = lambda k: sum(sorted(words)[-max(1, len(words) // k) :]) / max(1, len(words) // k)
+        want = [sum(rows) / len(rows), top(10), top(30), math.log(len(words) + 1)]
+        assert np.allclose(toxicity.measures([text.encode()], table, table.rank())[0], want, atol=1e-12), text
+    # every class's probabilities after a context are those of one choice
+    letters = sorted({c for t in texts for c in normal(t)})
+    for context in ("    ", " vex", "u me", "bee ", "zzzz"):
+        assert all(abs(sum(p(y, context + c) for c in letters) - 1) < 1e-9 for y in (0, 1)), context
+
+
+def test_long_texts_in_parts(monkeypatch, spark):
     rng = random.Random(3)
-    vocab = list({"".join(chr(rng.choice((0x61, 0x430, 0x4E00)) + rng.randrange(26)) for _ in range(8)) for _ in range(120_000)})
-    whole = toxicity.shared_counts(spark.createDataFrame([(w, 1) for w in vocab], "word string, n long"))
-    longer = {x for w in vocab for p in ["\x02" * 4 + w + "\x03"] for x in (p[i : i + 5] for i in range(len(p) - 4))}
-    n, total = {}, {}
-    for x in longer:
-        n[x[1:]] = n.get(x[1:], 0) + 1
-    for g, k in n.items():
-        total[g[:-1]] = total.get(g[:-1], 0) + k
-    got = {r["key"]: r["value"] for r in whole[3][0].table.collect()}
-    assert len(n) > 1 << 19 and got.keys() == n.keys()
-    assert all(abs(got[g] - (n[g] - 0.75) / (total[g[:-1]] + 1e-3)) < 1e-12 for g in n)
+    text = " ".join("".join(rng.choice("abcdeéß水") for _ in range(rng.randint(1, 90))) for _ in range(400)) + ", end."
+    table = toxicity.Table({g: rng.random() for g in set(fives(normal(text))) if rng.random() < 0.6}, {g[:4]: rng.random() for g in fives(normal(text)) if rng.random() < 0.8})
+    whole, rank = toxicity.measures([text.encode(), b"", b"...", b"ab"], table, table.rank()), table.rank()
+    grams = Counter(fives(normal(text)))
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    parts = list(toxicity.parts(text.encode()))
+    assert len(parts) > 10 and parts[0] + "".join(p[4:] for p in parts[1:]) == normal(text)
+    assert np.allclose(toxicity.measures([text.encode(), b"", b"...", b"ab"], table, rank), whole, atol=1e-12)
+    got = Counter()
+    for piece in toxicity.pieces(iter(parts)):
+        got.update(dict(zip(*map(list, toxicity.tally(piece)))))
+    assert got == grams
+
+
+def test_large_alphabets():
+    rng = random.Random(4)
+    texts = ["    " + "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(9000)) + " " for _ in range(2)]
+    grams = Counter(g for t in texts for g in fives(t))
+    assert dict(zip(*map(list, toxicity.tally(texts)))) == grams and len(set("".join(texts))) > 7131
+    table = toxicity.Table({g: float(i + 1) for i, g in enumerate(grams)}, {})
+    points = toxicity.code_points(texts)
+    want = {g: float(i + 1) for i, g in enumerate(grams)}
+    assert table.ratios(points, table.rank())[4:9000].tolist() == [want[g] for g in fives(texts[0])][: 9000 - 4]
+
+
+def test_extra_columns_pass_through(spark):
+    rows, labels = corpus(300, 5)
+    docs = spark.createDataFrame([(i, t, {"a b": i}, [1.0]) for i, t, *_ in rows], "doc_id long, text string, f0 struct<`a b`:long>, c1 array<double>")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(docs, model, keep=["f0", "text", "c1"])
+    assert got.columns == ["doc_id", "score", "predicted", "f0", "text", "c1"] and got.count() == 300
+    assert {(r.doc_id, r.text, r.f0["a b"]) for r in got.collect()} == {(i, t, i) for i, t, *_ in rows}

@@ -1,202 +1,260 @@
-"""Toxicity by class-conditional Kneser-Ney models."""
+"""Toxicity by class-conditional Kneser-Ney models of characters."""
 
 from __future__ import annotations
 
 import re
-import uuid
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .shared import by_batch, saved, shared_dir, utf8
+from .shared import saved, utf8
 
-#: Characters of an n-gram; discount of counts.
-ORDER, DISCOUNT = 5, 0.75
-#: Labelled texts that are learnt from at most, those of each class with the least hash of doc_id.
-LABELLED = 8000
-#: Longest word that is scored as one, in characters; longer ones are scored in pieces.
-LONGEST = 40
-#: Words whose n-grams are made in one go; different words and bytes of text after which a chunk of rows ends.
-AT_ONCE, CHUNK_WORDS, CHUNK_BYTES = 8192, 200_000, 16_000_000
-WORD = re.compile(r"\w+")
+#: Characters of an n-gram; discount of counts; weight of the order below in every context, in counts (corpus, classes).
+ORDER, DISCOUNT, CORPUS_PRIOR, CLASS_PRIOR = 5, 0.75, 1e-3, 1.0
+#: Labelled texts of each class that are learnt from at most (those with the least hash of doc_id), and their bytes in all.
+LABELLED, LABELLED_BYTES = 8000, 32_000_000
+#: Characters taken in one go; different n-grams that a task holds before it hands them on.
+PIECE, HELD = 2_000_000, 400_000
+#: Words, in pieces of 40 characters where they are longer.
+WORD, GAP = re.compile(r"\w{1,40}"), re.compile(r"\W")
+#: Characters that stand before a text.
+FRONT = " " * (ORDER - 1)
+_MIX = 0x9E3779B97F4A7C15
 
 
-def words(data: bytes) -> list[str]:
-    """Lower-case words of a text; very long ones in pieces."""
-    found = WORD.findall(data.decode().lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+def parts(data: bytes) -> Iterator[str]:
+    """A text as the models read it: its lower-case words with a space after each, in parts of about PIECE characters.
 
-
-def grams(vocabulary: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """The n-grams of 1..ORDER characters that end at each character of each word, its end included, and the word of each.
-
-    A word starts with ORDER - 1 marks, so the shorter n-grams of a place are the suffixes of the longest one. The third list holds
-    the contexts of 0..ORDER-1 characters.
+    Each part begins with the ORDER - 1 characters before it, the first with FRONT. A text without words has no part.
     """
-    joined = "".join("\x02" * (ORDER - 1) + w + "\x03" for w in vocabulary)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter((len(w) + ORDER for w in vocabulary), np.int64, len(vocabulary))
-    start = np.cumsum(lengths) - lengths
-    word = np.repeat(np.arange(len(vocabulary)), lengths)
-    at = np.flatnonzero(np.arange(len(code)) - start[word] >= ORDER - 1)
-    window = code[at[:, None] + np.arange(1 - ORDER, 1)]
-    cut = lambda a, b: np.ascontiguousarray(window[:, a:b]).view(f"<U{b - a}")[:, 0] if a < b else np.full(len(at), "")
-    return [cut(ORDER - 1 - k, ORDER) for k in range(ORDER)], word[at], [cut(ORDER - 1 - k, ORDER - 1) for k in range(ORDER)]
+    text, at, front = data.decode(), 0, FRONT
+    while at < len(text):
+        gap = GAP.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = gap.start() if gap else len(text)
+        found = WORD.findall(text[at:end].lower())
+        if found:
+            part = f"{front}{' '.join(found)} "
+            yield part
+            front = part[1 - ORDER :]
+        at = end
+
+
+def pieces(some: Iterator[str]) -> Iterator[list[str]]:
+    """Parts in lists of about PIECE characters."""
+    held, size = [], 0
+    for part in some:
+        held.append(part)
+        size += len(part)
+        if size > PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def windows(ids: np.ndarray, base: int) -> np.ndarray:
+    """The number of the ORDER symbols up to each place from ORDER - 1 on, in base ``base`` modulo 2 ** 64."""
+    n, base = len(ids) - ORDER + 1, np.uint64(base)
+    out = ids[:n].astype(np.uint64)
+    for k in range(1, ORDER):
+        out *= base
+        out += ids[k : k + n]
+    return out
+
+
+def places(texts: list[str]) -> np.ndarray:
+    """For each window of the joined texts whether it lies within one of them."""
+    fine = np.ones(sum(map(len, texts)) - ORDER + 1, bool)
+    for end in np.cumsum([len(t) for t in texts])[:-1]:
+        fine[end - ORDER + 1 : end] = False
+    return fine
+
+
+def tally(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different n-grams of ORDER characters within the texts, none of which is empty, and how often each occurs."""
+    code = code_points(texts)
+    mark = np.zeros(int(code.max()) + 1, bool)
+    mark[code] = True
+    alphabet = np.flatnonzero(mark).astype(np.uint32)
+    if len(alphabet) ** ORDER < 1 << 64:
+        rank = np.zeros(len(mark), np.uint64)
+        rank[alphabet] = np.arange(len(alphabet))
+        found, n = np.unique(windows(rank[code], len(alphabet))[places(texts)], return_counts=True)
+        digits = np.empty((len(found), ORDER), np.uint32)
+        for k in reversed(range(ORDER)):
+            found, digit = np.divmod(found, np.uint64(len(alphabet)))
+            digits[:, k] = alphabet[digit]
+    else:
+        cut = np.lib.stride_tricks.sliding_window_view(code, ORDER)[places(texts)]
+        digits, n = np.unique(np.ascontiguousarray(cut).view(f"<U{ORDER}")[:, 0], return_counts=True)
+    return np.ascontiguousarray(digits).view(f"<U{ORDER}").reshape(-1).tolist(), n
 
 
-def longest(vocabulary: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The n-grams of ORDER characters of the words and the place of each one's word, AT_ONCE words at a time."""
-    for i in range(0, len(vocabulary), AT_ONCE):
-        full, word, _ = grams(vocabulary[i : i + AT_ONCE])
-        yield full[-1].tolist(), word + i
+def corpus_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram): the different n-grams of ORDER characters of every whole text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        done = lambda: pa.record_batch([pa.array(list(held), pa.string())], names=["gram"])
+        for some in pieces(p for batch in batches for x in utf8(batch.column(0)) for p in parts(x)):
+            held.update(tally(some)[0])
+            if len(held) > HELD:
+                yield done()
+                held = set()
+        if held:
+            yield done()
 
-class Numbers:
-    """A number for each key, as a distributed table; ``default`` for keys that it lacks."""
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram string").distinct()
 
-    def __init__(self, table: DataFrame, key: str, value: str, default: float):
-        self.table, self.default = table.select(F.col(key).alias("key"), F.col(value).alias("value")), default
 
-    def __getitem__(self, key: str) -> float:
-        found = self.table.where(F.col("key") == str(key)).first()
-        return self.default if found is None else found["value"]
+def orders(grams: DataFrame) -> list[DataFrame]:
+    """(gram, n) for 1..ORDER-1 characters from the different n-grams of ORDER: how many different ones a character longer end in it."""
+    counted = []
+    for k in reversed(range(1, ORDER)):
+        grams = saved(grams.groupBy(F.right("gram", F.lit(k)).alias("shorter")).agg(F.count("*").alias("n")).withColumnRenamed("shorter", "gram"))
+        counted.append(grams)
+    return counted[::-1]
 
-    def onto(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """``df`` with the numbers of its column ``key`` as column ``name``."""
-        return df.join(self.table.toDF(key, name), key, "left").fillna(self.default, [name])
 
+def known(wanted: DataFrame, counted: DataFrame, k: int) -> DataFrame:
+    """(gram, n, total, taken) for each of ``wanted``: its count, its context's, and what the discount takes from the context; null for none."""
+    context = F.substring("gram", 1, k - 1).alias("context")
+    sums = counted.groupBy(context).agg(F.sum("n").alias("total"), F.sum(F.least("n", F.lit(DISCOUNT))).alias("taken"))
+    found = wanted.select("gram", context).join(counted.select("gram", "n"), "gram", "left").join(sums, "context", "left")
+    return found.select("gram", F.col("n").cast("double").alias("n"), F.col("total").cast("double").alias("total"), F.col("taken").cast("double").alias("taken"))
 
-def tables(counted: DataFrame, order: int, prior: float) -> tuple[Numbers, Numbers]:
-    """What an order of the model needs: the discounted share of each n-gram in its context, and each context's weight of the order below.
 
-    ``counted`` has gram and n, one row for each n-gram of ``order`` characters.
-    """
-    context = F.substring("gram", 1, order - 1).alias("context")
-    sums = saved(counted.groupBy(context).agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("kinds")))
-    below = sums.select("context", ((F.least(DISCOUNT * F.col("kinds"), "total") + prior) / (F.col("total") + prior)).alias("below"))
-    own = counted.select("gram", "n", context).join(sums, "context")
-    own = own.select("gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / (F.col("total") + prior)).alias("own"))
-    return Numbers(own, "gram", "own", 0.0), Numbers(below, "context", "below", 1.0)
+def discounted(n: float | None, total: float | None, taken: float | None, prior: float) -> tuple[float, float]:
+    """An n-gram's own discounted share in its context, and what is left there for the order below."""
+    if total is None:
+        return 0.0, 1.0
+    return max((n or 0.0) - DISCOUNT, 0.0) / (total + prior), (taken + prior) / (total + prior)
 
 
-@dataclass
-class Model:
-    """Two Kneser-Ney models of characters within words that share every order below the highest.
+class Table:
+    """Numbers of n-grams: ``ratio`` of those learnt, and by context for all others; 0 where neither is known.
 
-    The highest order holds each class's own counts less a discount; what the discount takes goes to the shared distribution of the
-    lower orders, whose counts are Kneser-Ney continuation counts over the words of the whole corpus. An expression that a class
-    has seen rarely or never therefore takes its probability from the corpus, alike for both classes. Every n-gram has its own row in
-    distributed tables, which grow with the corpus; ``corpus`` holds the ratios of its n-grams of ORDER characters.
+    An n-gram is known by its characters' ranks as one number. That is exact up to 7131 different characters; beyond, the number is
+    taken modulo 2 ** 64 with a base under which the learnt ones differ.
     """
 
-    lower: list[tuple[Numbers, Numbers]]
-    classes: list[tuple[Numbers, Numbers]]
-    corpus: DataFrame | None = None
-
-    def ratios(self, wanted: DataFrame) -> DataFrame:
-        """(gram, ratio): the log-likelihood ratio of toxic to ordinary of each n-gram of ``wanted``, which are distinct."""
-        share = None
-        for k, (own, below) in enumerate(self.lower, 1):
-            x = wanted.select(F.right("gram", F.lit(k)).alias("gram")).distinct()
-            x = x.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.right("gram", F.lit(k - 1)).alias("suffix"))
-            x = below.onto(own.onto(x, "gram", "own"), "context", "below")
-            x = x.withColumn("share", F.lit(1e-4)) if share is None else x.join(share, "suffix")
-            share = saved(x.select(F.col("gram").alias("suffix"), (F.col("own") + F.col("below") * F.col("share")).alias("share")))
-        x = wanted.select("gram", F.substring("gram", 1, ORDER - 1).alias("context"), F.right("gram", F.lit(ORDER - 1)).alias("suffix")).join(share, "suffix")
-        for y, (own, below) in enumerate(self.classes):
-            x = below.onto(own.onto(x, "gram", f"own{y}"), "context", f"below{y}")
-        ordinary, toxic = (F.log(F.col(f"own{y}") + F.col(f"below{y}") * F.col("share")) for y in (0, 1))
-        return x.select("gram", (toxic - ordinary).alias("ratio"))
+    def __init__(self, grams: dict[str, float], contexts: dict[str, float]):
+        self.alphabet = sorted(set("".join(grams)) | {" "})
+        self.base = len(self.alphabet) + 1
+        if self.base**ORDER >= 1 << 64:
+            self.base = _MIX
+        while True:
+            self.grams, self.contexts = self._index(grams, ORDER), self._index(contexts, ORDER - 1)
+            if len(np.unique(self.grams[0])) == len(grams) and len(np.unique(self.contexts[0])) == len(contexts):
+                break
+            self.base += 2
+
+    def _index(self, numbers: dict[str, float], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Codes and numbers by slot, each slot's start, and the bits of a slot."""
+        ids = np.searchsorted(np.array([ord(c) for c in self.alphabet], np.uint32), code_points(list(numbers))) if numbers else np.empty(0)
+        code = np.zeros(len(numbers), np.uint64)
+        for k in range(length):
+            code = code * np.uint64(self.base) + (ids.reshape(-1, length)[:, k].astype(np.uint64) + np.uint64(1))
+        bits = max(4, (2 * len(code)).bit_length())
+        slot = (code * np.uint64(_MIX)) >> np.uint64(64 - bits)
+        order = np.argsort(slot, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(slot.astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+        return code[order], np.fromiter(numbers.values(), np.float64, len(code))[order], start, bits
+
+    @staticmethod
+    def _find(index: tuple, wanted: np.ndarray, out: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+        """Puts the numbers of ``wanted`` into ``out`` (at ``at``) and returns the places in ``out`` of those not found."""
+        code, number, start, bits = index
+        slot = ((wanted * np.uint64(_MIX)) >> np.uint64(64 - bits)).astype(np.int64)
+        now, end = start[slot], start[slot + 1]
+        left = np.arange(len(out)) if at is None else at
+        missing = []
+        while len(left):
+            full = now < end
+            missing.append(left[~full])
+            left, now, end, wanted = left[full], now[full], end[full], wanted[full]
+            hit = code[now] == wanted
+            out[left[hit]] = number[now[hit]]
+            miss = ~hit
+            left, now, end, wanted = left[miss], now[miss] + 1, end[miss], wanted[miss]
+        return np.concatenate(missing) if missing else left
+
+    def rank(self) -> np.ndarray:
+        """Each character's rank from 1, 0 for characters that were not learnt."""
+        rank = np.zeros(0x110000, np.uint64)
+        rank[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
+        return rank
+
+    def ratios(self, points: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The number of the n-gram that ends at each place of a string, given by its code points; 0 for the first ORDER - 1 places."""
+        ids = rank[points]
+        code, out = windows(ids, self.base), np.zeros(len(ids))
+        inner = out[ORDER - 1 :]
+        rest = self._find(self.grams, code, inner, None)
+        context = np.zeros(len(rest), np.uint64)
+        for k in range(ORDER - 1):
+            context = context * np.uint64(self.base) + ids[rest + k]
+        self._find(self.contexts, context, inner, rest)
+        return out
+
+
+def measures(texts: Iterable[bytes], table: Table, rank: np.ndarray) -> np.ndarray:
+    """f0..f3 of each text: its log-likelihood ratio a character, the ratio a word over the highest tenth of its words and over the
+    highest thirtieth (one word at least), and the logarithm of words + 1. A text without words has zeros."""
+    words: list[list[np.ndarray]] = []
+    length: list[int] = []
+    held: list[tuple[int, str]] = []
+
+    def done() -> None:
+        points = code_points([p for _, p in held])
+        ratio, ends, start = table.ratios(points, rank), points == 32, 0
+        for i, p in held:
+            first, start = start + ORDER - 1, start + len(p)
+            last = np.flatnonzero(ends[first:start])
+            words[i].append(np.add.reduceat(ratio[first:start], np.concatenate([[0], last[:-1] + 1])))
+            length[i] += start - first
+
+    size = 0
+    for i, text in enumerate(texts):
+        words.append([])
+        length.append(0)
+        for p in parts(text):
+            held.append((i, p))
+            size += len(p)
+            if size > PIECE:
+                done()
+                held, size = [], 0
+    if held:
+        done()
+    out = np.zeros((len(words), 4))
+    for i, of in enumerate(words):
+        if of:
+            word = of[0] if len(of) == 1 else np.concatenate(of)
+            a, b = max(1, len(word) // 10), max(1, len(word) // 30)
+            high = np.partition(word, (-a, -b))
+            out[i] = word.sum() / length[i], high[-a:].mean(), high[-b:].mean(), np.log1p(len(word))
+    return out
 
 
 @dataclass
 class Learnt:
-    """A model, and the weights of its features (None where one class was never seen)."""
+    """What scores a text: the log-likelihood ratios of n-grams, and the weights of its measures (None where a class was never seen)."""
 
-    model: Model
+    table: Table | None
     weights: list[float] | None
 
 
-def features(rows: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``rows`` but the last, which is the text, and f0..f3 of that text.
-
-    These are the mean ratio a word, the same of the highest tenth and thirtieth (one word at least), and the logarithm of words + 1.
-    Rows are cut into chunks and written once: each row with the places of its words in its chunk's vocabulary, and each chunk
-    with its vocabulary and its different n-grams. These meet their ratios by n-gram, and the ratios meet the rows by chunk.
-    """
-    spark, kept = rows.sparkSession, rows.schema.fields[:-1]
-    names = [f.name for f in kept]
-    columns = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, ids, size, types = uuid.uuid4().int >> 65, {}, 0, []
-
-        def record(n, vocabulary=None, gram=None, places=None, columns=None):
-            own = [pa.array([chunk] * n, pa.int64()), vocabulary or pa.nulls(n, pa.list_(pa.string())), gram or pa.nulls(n, pa.string()), places or pa.nulls(n, pa.binary())]
-            return pa.record_batch([*own, *(columns or [pa.nulls(n, t) for t in types])], names=["chunk", "vocabulary", "gram", "places", *names])
-
-        def end():
-            found = {g for some, _ in longest(list(ids)) for g in some}
-            yield record(1, vocabulary=pa.array([list(ids)], pa.list_(pa.string())))
-            held = list(found)
-            for i in range(0, len(held), 50_000):
-                yield record(len(held[i : i + 50_000]), gram=pa.array(held[i : i + 50_000], pa.string()))
-
-        for batch in batches:
-            types, first, places = [c.type for c in batch.columns[:-1]], 0, []
-            for i, text in enumerate(utf8(batch.column(len(kept))), 1):
-                at = np.sort(np.array([ids.setdefault(w, len(ids)) for w in words(text)], np.int32))
-                places.append(zlib.compress(np.diff(at, prepend=np.int32(0)).tobytes(), 1))  # their order doesn't matter
-                size += len(text)
-                full = len(ids) > CHUNK_WORDS or size > CHUNK_BYTES
-                if full or i == batch.num_rows:
-                    yield record(i - first, places=pa.array(places, pa.binary()), columns=[c.slice(first, i - first) for c in batch.columns[:-1]])
-                    first, places = i, []
-                if full:
-                    yield from end()
-                    chunk, ids, size = uuid.uuid4().int >> 65, {}, 0
-        if size or ids or types:
-            yield from end()
-
-    path = f"{shared_dir(spark)}/toxicity-{uuid.uuid4().hex}"
-    schema = f"chunk long, vocabulary array<string>, gram string, places binary{columns}"
-    rows.mapInArrow(cut, schema).write.parquet(path)
-    all_ = spark.read.schema(schema).parquet(path)
-    wanted = all_.where("gram is not null").select("chunk", "gram")
-    ratios = model.corpus
-    unknown = saved(wanted.select("gram").distinct().join(ratios, "gram", "left_anti"))
-    if not unknown.isEmpty():
-        ratios = ratios.union(model.ratios(unknown))
-    ratios = wanted.withColumnRenamed("chunk", "of").join(ratios, "gram")
-
-    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
-        ratio = dict(zip(right["gram"].to_pylist(), right["ratio"].to_pylist()))
-        vocabulary = next(v for v in left["vocabulary"].to_pylist() if v is not None)
-        of_word = np.zeros(len(vocabulary))
-        for some, word in longest(vocabulary):
-            of_word += np.bincount(word, np.fromiter(map(ratio.__getitem__, some), np.float64, len(some)), len(vocabulary))
-        own = left.filter(left["places"].is_valid())
-        out = np.zeros((own.num_rows, 4))
-        for k, packed in enumerate(own["places"].to_pylist()):
-            r = of_word[np.cumsum(np.frombuffer(zlib.decompress(packed), np.int32))]
-            if len(r):
-                a, b = max(1, len(r) // 10), max(1, len(r) // 30)
-                high = np.partition(r, (-a, -b))
-                out[k] = r.mean(), np.sort(high[-a:]).mean(), np.sort(high[-b:]).mean(), np.log1p(len(r))
-        return pa.table([*(own[n] for n in names), *(pa.array(c) for c in out.T)], names=[*names, "f0", "f1", "f2", "f3"])
-
-    here = all_.where("gram is null").select("chunk", "vocabulary", "places", *names)
-    return here.groupBy("chunk").cogroup(ratios.groupBy("of")).applyInArrow(measure, f"{columns[2:]}{', ' if kept else ''}f0 double, f1 double, f2 double, f3 double")
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[float]:
     """Mean, deviation and coefficients of a logistic regression, each class weighted as given; Newton steps, a small ridge."""
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -225,107 +283,128 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def corpus_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram): the different n-grams of ORDER characters of the words of every whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                held.update(words(text))
-                if len(held) > CHUNK_WORDS:
-                    yield done(held)
-                    held = set()
-        if held:
-            yield done(held)
-
-    done = lambda held: pa.record_batch([pa.array(list({g for some, _ in longest(list(held)) for g in some}), pa.string())], names=["gram"])
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram string").distinct()
+def class_ratios(counted: DataFrame, grams: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Logarithms of toxic over ordinary probability, of n-grams and of contexts.
 
-
-def shared_counts(vocabulary: DataFrame) -> list[tuple[Numbers, Numbers]]:
-    """The tables of each order below the highest, from continuation counts.
-
-    The continuation count of an n-gram is the number of different n-grams one character longer that end in it.
+    ``counted`` has y, gram, n of the classes' n-grams, ``grams`` the different n-grams of the whole corpus. Each class holds its own
+    discounted counts of ORDER characters; what the discount takes goes to the orders below, down to a uniform choice among all
+    characters. Their Kneser-Ney continuation counts come from the corpus, exact for each n-gram, and are shared. So where neither
+    class has seen an n-gram, the shared probability cancels and its context alone decides: the n-grams of the labelled texts are all
+    that scoring needs, however large the corpus; only their counts come to the driver.
     """
-    return lower_orders(corpus_grams(vocabulary, "word"))
-
-
-def lower_orders(longer: DataFrame) -> list[tuple[Numbers, Numbers]]:
-    """``shared_counts`` from the different n-grams of ORDER characters."""
-    lower = []
-    for k in reversed(range(1, ORDER)):
-        counted = saved(longer.groupBy(F.right("gram", F.lit(k)).alias("shorter")).agg(F.count("*").alias("n"))).withColumnRenamed("shorter", "gram")
-        lower.append(tables(counted, k, 1e-3))
-        longer = counted
-    return lower[::-1]
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Learnt:
-    """A model learnt from at most ``labelled`` texts of each class outside the held-out fifth, and from the words of all ``docs``.
-
-    Three quarters of the labelled texts give the class counts, a quarter the weights that turn features into a probability. Rows
+    wanted, lower = saved(counted.select("gram").distinct()), orders(grams)
+    characters = max(1, lower[0].count())
+    asked = [(wanted.select(F.right("gram", F.lit(k)).alias("gram")).distinct(), table, k) for k, table in enumerate(lower, 1)]
+    asked += [(wanted, counted.where(F.col("y") == y).select("gram", "n"), ORDER) for y in (0, 1)]
+    every = [known(*x).withColumn("table", F.lit(i)) for i, x in enumerate(asked)]
+    union = every[0]
+    for x in every[1:]:
+        union = union.unionByName(x)
+    found = union.toArrow()
+    rows: list[dict[str, tuple]] = [{} for _ in asked]
+    for gram, i, *numbers in zip(*(found[c].to_pylist() for c in ("gram", "table", "n", "total", "taken"))):
+        rows[i][gram] = numbers
+    share = {"": 1 / characters}
+    for some in rows[: ORDER - 1]:
+        now = {}
+        for gram, numbers in some.items():
+            own, below = discounted(*numbers, CORPUS_PRIOR)
+            now[gram] = own + below * share[gram[1:]]
+        share = now
+    ratio, contexts = {}, {}
+    for gram in rows[-1]:
+        (own0, below0), (own1, below1) = (discounted(*rows[i][gram], CLASS_PRIOR) for i in (-2, -1))
+        p = share[gram[1:]]
+        ratio[gram] = log((own1 + below1 * p) / (own0 + below0 * p))
+        contexts[gram[:-1]] = log(below1 / below0)
+    return ratio, contexts
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, labelled_bytes: int = LABELLED_BYTES) -> Learnt:
+    """A model learnt from at most ``labelled`` texts of each class outside the held-out fifth, and from all whole texts of ``docs``.
+
+    The labelled texts are those with the least hashes, whole, up to ``labelled_bytes`` a class; that bounds the table which goes to
+    the driver and to every executor: it has one row for each different n-gram in them. The shared counts come from every text.
+
+    Three quarters of the labelled texts give the class counts, a quarter the weights that turn measures into a probability. Rows
     without a text or a label of 0 or 1 teach nothing; a doc_id labelled twice counts with its higher label; without any text of one
     class the probability is a half for all. The weights follow the classes' shares among all labels outside the held-out fifth.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     marks = marks.where(~held_out(F.col("id")))
-    all_ = [marks.where(F.col("y") == y).count() for y in (0, 1)]
+    number = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     sample = marks.select("id", "y", F.xxhash64("id").alias("h"))
     sample = sample.where("y = 1").orderBy("h").limit(labelled).union(sample.where("y = 0").orderBy("h").limit(labelled))
     picked = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    texts = saved(picked.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("y", "h", "text"))  # 2 * labelled keys
+    texts = saved(picked.join(F.broadcast(sample), F.col("doc") == F.col("id")).select("y", "h", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t")))
+    before = Window.partitionBy("y").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = texts.groupBy("y", "h", "t").agg(F.min("size").alias("size"))
+    # at most 2 * labelled rows of hashes and sizes
+    sizes = sizes.where("y = 1").orderBy("h", "t").limit(labelled).union(sizes.where("y = 0").orderBy("h", "t").limit(labelled))
+    taken = sizes.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= labelled_bytes).select("y", "h", "t")
+    texts = texts.join(F.broadcast(taken), ["y", "h", "t"], "left_semi").dropDuplicates(["y", "h", "t"]).select("y", "h", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for y, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-                if h % 4:
-                    part[y].update(words(text))
+            ys, texts_ = batch.column(0).to_pylist(), list(utf8(batch.column(1)))
+            for y, c in part.items():
+                for piece in pieces(p for z, x in zip(ys, texts_) if z == y for p in parts(x)):
+                    grams, n = tally(piece)
+                    c.update(dict(zip(grams, n.tolist())))
         for y, c in part.items():
-            vocab, n, total = list(c), np.fromiter(c.values(), np.int64, len(c)), Counter()
-            for some, word in longest(vocab):
-                for g, m in zip(some, n[word].tolist()):
-                    total[g] += m
-            yield pa.record_batch([pa.array([y] * len(total), pa.int32()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["y", "gram", "n"])
+            yield pa.record_batch([pa.array([y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["y", "gram", "n"])
 
-    counted = saved(texts.mapInArrow(count, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")))
+    counts = texts.where("pmod(h, 4) > 0").select("y", "text").mapInArrow(count, "y int, gram string, n long")
+    counted = saved(counts.groupBy("y", "gram").agg(F.sum("n").alias("n")))
     # both classes weigh alike: equal totals, so that what neither has seen often says nothing
     sums = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     if len(sums) < 2:
-        return Learnt(Model([], []), None)
-    classes = [tables(counted.where(F.col("y") == y).select("gram", (F.col("n") * (min(sums.values()) / sums[y])).alias("n")), ORDER, 1.0) for y in (0, 1)]
-    seen = saved(corpus_grams(docs, text_col))
-    model = Model(lower_orders(seen), classes)
-    model.corpus = saved(model.ratios(seen))
-    fit = features(texts.where("pmod(h, 4) = 0").select("y", "text"), model).toPandas().sort_values(["y", "f0", "f1", "f2", "f3"])
+        return Learnt(None, None)
+    weighed = counted.select("y", "gram", (F.col("n") * F.when(F.col("y") == 0, min(sums.values()) / sums[0]).otherwise(min(sums.values()) / sums[1])).alias("n"))
+    table = Table(*class_ratios(weighed, saved(corpus_grams(docs, text_col))))
+    fit = measured(texts.where("pmod(h, 4) = 0").select("y", "text"), "text", table).toPandas().sort_values(["c0", "f0", "f1", "f2", "f3"])
     weights = None
-    if fit["y"].nunique() == 2:
-        weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["y"].to_numpy(), np.array([n / max(1, min(n, labelled)) for n in all_]))
-    return Learnt(model, weights)
+    if fit["c0"].nunique() == 2:
+        weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["c0"].to_numpy(), np.array([number[y] / (fit["c0"] == y).sum() for y in (0, 1)]))
+    return Learnt(table, weights)
+
+
+def measured(rows: DataFrame, text_col: str, table: Table) -> DataFrame:
+    """The columns of ``rows`` as c0, c1, ... and f0..f3 of each whole text. Row by row: nothing is shuffled."""
+    inner = [f"c{i}" for i in range(len(rows.columns))]
+    plain, where = rows.toDF(*inner), rows.columns.index(text_col)
+    names = [*inner, "f0", "f1", "f2", "f3"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = table.rank()
+        for batch in batches:
+            x = measures(utf8(batch.column(where)), table, rank)
+            yield pa.record_batch([*batch.columns, *(pa.array(c) for c in np.ascontiguousarray(x.T))], names=names)
+
+    added = [StructField(n, DoubleType()) for n in names[-4:]]
+    return plain.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in plain.schema.fields] + added))
 
 
 def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, score in 0..1 and predicted for every row, from its whole text alone; ``keep`` names columns to pass on.
 
-    A null text is an empty one; an empty text gets the probability at a ratio of 0; repeated rows score alike; a null doc_id is
-    kept; an empty table gives an empty result.
+    A null text is an empty one; an empty text, or one without words, gets the probability of measures that are all 0; repeated rows
+    score alike; a null doc_id is kept; an empty table gives an empty result; columns that aren't named are left out.
     """
     weights, keep = model.weights, keep or []
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-    kept = picked.schema.fields[1:-1]
+    picked = docs.select(F.col(id_col).cast(LongType()), *[F.col(c) for c in keep], F.col(text_col)).toDF("doc_id", *[f"k{i}" for i in range(len(keep))], "text")
     if weights:
-        measured = features(picked, model.model)
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = probability(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[-4:]]), weights)
-            return pa.record_batch([batch.column(0), pa.array(p), *batch.columns[1:-4]], names=["doc_id", "score", *(f.name for f in kept)])
-
-        schema = "doc_id long, score double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-        scored = measured.mapInArrow(by_batch(run), schema)
+        k = len(weights) // 3
+        done = measured(picked, "text", model.table)
+        z = F.lit(weights[2 * k])
+        for i in range(k):
+            z = z + (F.col(f"f{i}") - weights[i]) / weights[k + i] * weights[2 * k + 1 + i]
+        scored = done.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z)))))
     else:
-        scored = picked.withColumn("score", F.lit(0.5))
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f.name).alias(c) for f, c in zip(kept, keep)])
+        scored = picked.toDF(*[f"c{i}" for i in range(len(keep) + 2)]).withColumn("score", F.lit(0.5))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep, 1)]
+    return scored.select(F.col("c0").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *kept)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
