@@ -10,6 +10,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 ROUNDS = 10
 FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -164,8 +165,9 @@ def _date(s: str, c: Cipher, back: bool) -> str | None:
 def _email(s: str, c: Cipher, back: bool) -> str | None:
     local, host = s.split("@")
     labels = host.split(".")
-    x = c.text(local.lower() + "@" + labels[0].lower(), "email", back)
-    return x + "." + ".".join(labels[1:])
+    plain = local + "@" + labels[0]
+    x = c.text(plain.lower(), "email", back)  # one address in any case is one value; its capitals stay where they are
+    return "".join(new.upper() if old.isupper() else new for old, new in zip(plain, x)) + "." + ".".join(labels[1:])
 
 
 def _secret(s: str, c: Cipher, back: bool) -> str | None:
@@ -213,6 +215,8 @@ def pseudonymise(text: str, cipher: Cipher, back: bool = False) -> tuple[str, li
 def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "spans") -> DataFrame:
     """``docs`` with pseudonyms in place of personal data in ``text_col``, and ``spans_col`` (kind, start, stop) last.
 
+    Where ``docs`` has a column of that name, underscores are added to it until it is a new one.
+
     Found and validated: cards (Luhn), IBANs (modulo 97), phone numbers (+ and country code), US social security numbers, IPv4
     addresses, dates from 1900 to 2099, email addresses, labelled secrets. Each is permuted by a keyed Feistel network among the
     values of its own format, so that separators, length and check digits hold, equal values have equal pseudonyms in all documents,
@@ -236,8 +240,10 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: s
             columns[where] = pa.array([t for t, _ in done], pa.string())
             yield pa.record_batch([*columns, pa.array([s for _, s in done], kinds)], names=[*inner, "spans"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    found = plain.mapInArrow(run, schema + ", spans array<struct<kind:string,start:long,stop:long>>")
+    span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("stop", LongType())])
+    found = plain.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in plain.schema.fields), StructField("spans", ArrayType(span))]))
+    while spans_col in names:
+        spans_col += "_"
     return found.toDF(*names, spans_col) if spans_col else found.drop("spans").toDF(*names)
 
 
