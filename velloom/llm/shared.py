@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,16 +13,35 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on this machine alone may leave it unset."""
     sc = spark.sparkContext
     has = sc._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if has.isEmpty():
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="velloom-"))
         has = sc._jsc.sc().getCheckpointDir()
     return path or has.get()
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; Hadoop removes it when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, for rows too wide to be checkpointed; reading it again gives the same rows."""
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; its lineage ends there, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)
