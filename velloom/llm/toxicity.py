@@ -10,6 +10,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -301,19 +302,20 @@ def class_ratios(counted: DataFrame, grams: DataFrame) -> tuple[dict[str, float]
     for x in every[1:]:
         union = union.unionByName(x)
     found = union.toArrow()
-    rows: list[dict[str, tuple]] = [{} for _ in asked]
-    for gram, i, *numbers in zip(*(found[c].to_pylist() for c in ("gram", "table", "n", "total", "taken"))):
-        rows[i][gram] = numbers
+
+    def numbers(i: int, prior: float) -> Iterator[tuple[str, float, float]]:
+        some = found.filter(pc.equal(found["table"], i))
+        for batch in some.to_batches(max_chunksize=65_536):
+            for gram, *x in zip(*(batch.column(c).to_pylist() for c in ("gram", "n", "total", "taken"))):
+                yield gram, *discounted(*x, prior)
+
     share = {"": 1 / characters}
-    for some in rows[: ORDER - 1]:
-        now = {}
-        for gram, numbers in some.items():
-            own, below = discounted(*numbers, CORPUS_PRIOR)
-            now[gram] = own + below * share[gram[1:]]
-        share = now
+    for i in range(ORDER - 1):
+        share = {gram: own + below * share[gram[1:]] for gram, own, below in numbers(i, CORPUS_PRIOR)}
+    ordinary = {gram: (own, below) for gram, own, below in numbers(ORDER - 1, CLASS_PRIOR)}
     ratio, contexts = {}, {}
-    for gram in rows[-1]:
-        (own0, below0), (own1, below1) = (discounted(*rows[i][gram], CLASS_PRIOR) for i in (-2, -1))
+    for gram, own1, below1 in numbers(ORDER, CLASS_PRIOR):
+        own0, below0 = ordinary[gram]
         p = share[gram[1:]]
         ratio[gram] = log((own1 + below1 * p) / (own0 + below0 * p))
         contexts[gram[:-1]] = log(below1 / below0)
