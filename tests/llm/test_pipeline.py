@@ -62,3 +62,25 @@ def test_near_duplicates_by_row(spark, tmp_path):
     got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/rows"), str(tmp_path))
     want = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (1, t[5]), (9, t[6]), (4, t[7])]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    rows, labels = corpus(300, 11)
+    names = ["doc_id", "text", "source", "position", "mix_row", "stays", "row_of_id", "spans", "row", "score", "predicted", "c0", "dup_row"]
+    docs = [(i % 120 if i % 7 else None, t, f"s{i % 3}", i, str(i), i / 2, i, [i], i, 0.0, i, "c", i) for i, t, *_ in rows]
+    docs += [(1, None, None, None, None, None, None, None, None, None, None, None, None)] * 2
+    ddl = "doc_id long, text string, source string, position long, mix_row string, stays double, row_of_id long, spans array<long>, row long, score double, predicted long, c0 string, dup_row long"
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.createDataFrame(docs, ddl).repartition(5)
+    before = Counter(map(str, now.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == names, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        after = Counter(map(str, now.collect()))
+        if name != "mixing":
+            assert not after - before, name
+        assert set(after) <= set(before) and after, name
+        before = after
+    assert corpus_pipeline.pack_windows(spark, now, str(tmp_path)).select("doc_id").count() == sum(before.values())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .shared import parts, saved, shared_dir, utf8
+from .shared import parts, saved, utf8, work_dir
 from .tokenizing import encoder, vocabulary
 from .tokenizing import version as version_of
 
@@ -20,7 +19,7 @@ CACHE = "digest binary, version string, n_tokens long"
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops rows whose digest this task has seen, in the last million."""
+    """Drops rows whose digest this task has lately seen, to ship less. That each digest is encoded once rests on ``_runs`` alone."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -97,5 +96,5 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     """Query: byte-level token counts of all documents, through a cache that starts empty."""
-    counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}")
+    counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{work_dir(spark, 'token-cache')}/counts")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
