@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velloom.functions import similarity as sim
 from velloom.functions import text
-from velloom.operators import lines, series
+from velloom.operators import correction, lines, series
 from velloom.sources import exports
 
 
@@ -17,58 +17,76 @@ def one(spark, f, *args):
 
 
 def test_html():
-    raw = '<div data-bbox="1 2 3 4"><h2>Заголовок</h2></div><div data-bbox="0 8 9 3"><p>Первая строка.<br/>Вторая строка.</p></div><div><p><img alt="sig"/></p></div>'
-    assert sim.html_to_text(raw) == "Заголовок\n\nПервая строка.\nВторая строка."
-    assert sim.html_to_text("просто текст") == "просто текст" and sim.html_to_text(None) == "" and sim.html_to_text("a &amp; b") == "a &amp; b"
-    loop = "масленников, а вот на самом низу ст "
-    got = sim.html_to_text("начало " + loop * 40)
-    assert got.count(loop.strip()) <= 2 and len(got) < 400 and got.startswith("начало")
-    assert sim.collapse_loops("\n".join(["раз два"] + ["одна и та же строка здесь"] * 80)).count("одна и та же") <= 2
+    raw = '<div data-bbox="7 7 9 9"><h1>Опись вещей</h1></div><section><p>Ключ медный,<br>замок старый.</p><img src="x"/></section><ul><li>и верёвка</li></ul>'
+    assert sim.html_to_text(raw) == "Опись вещей\n\nКлюч медный,\nзамок старый.\n\nи верёвка"
+    assert sim.html_to_text("одно слово") == "одно слово" and sim.html_to_text(None) == "" and sim.html_to_text("a &amp; b") == "a &amp; b"
+    assert sim.html_to_text("<b>a &amp;&lt; b</b>") == "a &< b"
+    loop = "ключ лежал под ковром у двери "
+    got = sim.html_to_text("опись " + loop * 30)
+    assert got.count(loop.strip()) <= 2 and len(got) < 200 and got.startswith("опись")
+    assert sim.collapse_loops("\n".join(["три четыре"] + ["верёвка лежит на верхней полке"] * 50)).count("верёвка") <= 2
 
 
 def test_tex(spark):
-    raw = "Какой?\n\\begin{array}{c} 1 \\hline \\end{array}\n9/4 $x+1$ \\frac{1}{2} конец"
+    raw = "Сколько?\n\\begin{array}{c} 5 \\hline \\end{array}\n7/3 $y-2$ \\frac{3}{4} всё"
     got = one(spark, text.drop_tex, raw)
-    assert "array" not in got and "hline" not in got and "Какой?" in got and "9/4" in got and "$" not in got and "frac" not in got
-    assert sim.collapse_loops(raw) == got
+    assert got == "Сколько?\n\n7/3   всё" and sim.collapse_loops(raw) == got
 
 
 def test_similar_lines():
-    assert sim.line_similarity("", "a") == 0 and sim.line_similarity("Straße  eins", "strasse eins") == 1
-    a, b = "Браславские озёра находятся на севере", "Браславские озера находятся на севере страны"
-    assert sim.merge_near_lines(f"{a}\n\n\n{b}\nдругое") == f"{b}\n\nдругое"
-    assert sim.stitch([f"первая строка текста\n{a}", f"{a}\nпоследняя строка здесь"]).count("Браславские") == 1
-    draft = " ".join(["слово"] * 40)
-    assert sim.prefer_refined(draft, "мало") == draft and sim.prefer_refined(draft, draft) == draft
-    tail = "Флангель должно раскрываться содержание каждого предмета"
-    assert sim.drop_repeated_tail(f"{tail} подробно\n\nсовсем иные понятия обсуждались вчера\n\n{tail}").count("Флангель") == 1
+    assert sim.line_similarity("", "a") == 0 and sim.line_similarity("Maße  drei", "masse drei") == 1
+    a, b = "Старый замок открывается медным ключом", "Старый замак открывается медным ключом легко"
+    assert sim.merge_near_lines(f"{a}\n\n\n{b}\nконец") == f"{b}\n\nконец"
+    draft = " ".join(["полка"] * 40)
+    assert sim.prefer_refined(draft, "пусто") == draft and sim.prefer_refined(draft, draft) == draft
+    tail = "Верёвка хранится отдельно вместе остальными предметами"
+    assert sim.drop_repeated_tail(f"{tail} всегда\n\nникто ничего больше найти здесь сумел\n\n{tail}").count("Верёвка") == 1
+
+
+def test_stitched_bands(spark):
+    a, b, c = "на верхней полке лежит верёвка", "под ковром спрятан медный ключ", "замок висит на старой двери"
+    assert sim.stitch(["<p>раз</p>"]) == "раз"
+    assert sim.stitch([f"{a}\n{b}", f"{b}\n{c}"]) == f"{a}\n{b}\n\n{c}"
+    assert sim.stitch([f"{a}\n{b}", f"пад ковром спрятан медный ключ\n{c}"]).count("ключ") == 1
+    assert sim.stitch([f"x\n{a}\n{b}\n{c}", f"{a}\n{b}\n{c}\n\nиная строка", None, ""]) == f"x\n{a}\n{b}\n{c}\n\nиная строка"
+    d = spark.createDataFrame([(["<b>раз</b>", None, "два"],), ([],)], "bands array<string>")
+    assert [r[0] for r in d.select(sim.each(sim.stitch)(F.col("bands"))).collect()] == ["раз\n\nдва", ""]
+
+
+def test_refined_heading_comes_back():
+    body = "верёвка лежит на полке рядом\nключ спрятан под ковром дома\nзамок висит на двери сарая"
+    draft = f"Опись вещей\n\n{body}"
+    refined = f"Совсем иное начало письма\n\n{body} теперь"
+    assert sim.prefer_refined(draft, refined) == f"Опись вещей\n\n{body} теперь"
+    assert sim.prefer_refined(draft, "Ничего похожего " * 12) == draft
+    assert sim.prefer_refined(f"  \nОпись вещей\n{body}", f"Иное\nначало\n{body}\n\n") == f"Опись вещей\n{body}"
 
 
 def test_guards(spark):
-    long = "Привет, это длинный русский текст про лес и дом"
-    assert one(spark, text.prefer_original, long, ". -.IC.ICO.ICABAB.") == long
-    assert one(spark, text.prefer_original, "Дом в лесу", "Дом в лесу.") == "Дом в лесу."
-    assert one(spark, text.prefer_original, "Дом в лесу", "  ") == "Дом в лесу"
-    for s, want in (("с «  08  »  20 26 г.", True), ("за _____ год", True), ('<div data-bbox="462', True), ("Согласен на выплату.", False)):
+    long = "Опись старых вещей, которые лежат на верхней полке"
+    assert one(spark, text.prefer_original, long, ".. ,BCK.OPQ.") == long
+    assert one(spark, text.prefer_original, "Ключ под ковром", "Ключ под ковром.") == "Ключ под ковром."
+    assert one(spark, text.prefer_original, "Ключ под ковром", " ") == "Ключ под ковром"
+    for s, want in (("от « 3 » мая", True), ("сумма ____ рублей", True), ('<DIV class="x"', True), ("Полка прибита.", False), ("data-bbox", True)):
         assert one(spark, text.looks_like_form, s) is want
-    assert one(spark, text.strip_completion, "```\nПривет\n```") == "Привет"
-    assert one(spark, text.strip_completion, "Исправленный текст:\nЕсли идти") == "Если идти"
+    assert one(spark, text.strip_completion, "```text\nОпись\n```") == "Опись"
+    assert one(spark, text.strip_completion, "Исправленный текст:\nПолка прибита") == "Полка прибита"
 
 
 def test_packs(spark):
-    unit = "Лес шумит, успокаивает. "
-    got = one(spark, lambda c: text.pack(text.sentence_units(c), 24, " "), unit * 30)
-    assert [len(p.split()) for p in got] == [24, 24, 24, 18]
-    lines = "\n".join(["слово"] * 300)
-    got = one(spark, lambda c: text.pack(F.flatten(F.transform(F.split(c, "\n"), text.sentence_units)), 220, "\n"), lines)
-    assert [len(p.split()) for p in got] == [220, 80]
+    unit = "Полка прибита крепко. "
+    got = one(spark, lambda c: text.pack(text.sentence_units(c), 24, " "), unit * 20)
+    assert [len(p.split()) for p in got] == [24, 24, 12]
+    got = one(spark, lambda c: correction.packs(c, 220, "\n"), "\n".join(["полка"] * 250))
+    assert [len(p.split()) for p in got] == [220, 30]
 
 
 def test_lexicon():
-    known = frozenset({"чащобу", "никуда", "крушиться", "лесная"})
-    assert sim.fix_cursive("забиралась в лацубу, тебя кинуза", known) == "забиралась в чащобу, тебя никуда"
-    assert sim.fix_cursive("Лес шумит, крушиться", known) == "Лес шумит, крушиться"
-    assert sim.spell("Ночьь в лисная Лисная мир", {"ночь": 9, "лесная": 5}) == "Ночь в лесная Лесная мир"
+    known = frozenset({"чужина", "ключи", "полка", "дождик"})
+    odd = "".join({"ч": "л", "у": "о", "ж": "и"}.get(c, c) for c in "чужина")
+    assert sim.fix_cursive(f"Здесь {odd} и {odd.upper()}, ключи", known) == "Здесь чужина и ЧУЖИНА, ключи"
+    assert sim.fix_cursive("Полка, ключи", known) == "Полка, ключи"
+    assert sim.spell("Палка у двери Двиря", {"полка": 9, "двери": 5, "двиря": 1, "пилка": 3}) == "Полка у двери Двиря"
 
 
 def test_series():
@@ -86,14 +104,15 @@ def test_series():
 
 
 def test_exports(spark):
-    body = "Первая & <строка>\nвторая\n\nтретья"
+    body = "Ключ & <полка>\nзамок\n\nверёвка"
     assert exports.build(body, "txt") == exports.build(body, "md") == body.encode()
     with pytest.raises(ValueError):
         exports.build(body, "rtf")
     word = zipfile.ZipFile(io.BytesIO(exports.build(body, "docx"))).read("word/document.xml").decode()
-    assert word.count("<w:p>") == 2 and word.count("<w:br/>") == 1 and "&lt;строка&gt;" in word
+    assert word.count("<w:p>") == 2 and word.count("<w:br/>") == 1 and "&lt;полка&gt;" in word
     sheet = zipfile.ZipFile(io.BytesIO(exports.build(body, "xlsx"))).read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row>") == 4 and "<v>3</v>" in sheet
+    assert exports.build(None, "pdf").startswith(b"%PDF") and exports.build("", "txt") == b""
     r = exports.files(spark.createDataFrame([("0123456789ab", body)], "id string, text string"), "id", "text", "docx").first()
     assert r.file_name == "ocr-01234567.docx" and r.content[:2] == b"PK"
 

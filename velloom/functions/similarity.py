@@ -19,6 +19,7 @@ LONG_ALIKE, SHORT_ALIKE, LONG_LINE, LOOK_BACK = 0.68, 0.9, 36, 7
 MOST_OVERLAP, OVERLAP_LEAST, OVERLAP_MEAN = 6, 0.5, 0.62
 #: Letters that look alike in handwriting.
 ALIKE = ("чл", "щц", "щш", "нк", "дз", "жи", "уо")
+#: Patterns of markup, TeX, loops and long words.
 LONG_WORD = re.compile("[А-Яа-яЁё]{5,}")
 _MARKUP = ((re.compile(r"<img[^>]*>", re.I), ""), (re.compile(r"<br\s*/?>", re.I), "\n"), (re.compile(f"</({BLOCK_ENDS})>", re.I), "\n\n"), (re.compile("<[^>]+>"), ""), (re.compile(r"<[a-zA-Z][^>\n]*$", re.M), ""))
 _TEX = ((re.compile(r"\\begin\{[a-zA-Z*]+\}.*?\\end\{[a-zA-Z*]+\}", re.S), ""), (re.compile(r"\$\$.*?\$\$|\$[^$\n]+\$"), ""), (re.compile(rf"\\(?:{TEX_COMMANDS})(?:\s*\{{[^{{}}]*\}})*"), ""), (re.compile(r"\\[a-zA-Z]+\*?"), ""), (re.compile(r"[ \t]+\n"), "\n"), (re.compile(r"\n{3,}"), "\n\n"))
@@ -106,28 +107,27 @@ def html_to_text(raw: str | None) -> str:
 
 
 def stitch(bands: Iterable[str | None]) -> str:
-    """JN2: bands in order, without the lines that a band repeats from the end of what stands before it."""
-    out: list[str] = []
-    before: list[str] = []
+    """JN2: bands in order as blocks, without the lines that a band repeats from the end of what the band before it left; then SCL1."""
+    left: list[list[str]] = []
     for band in bands:
         lines = (band or "").strip().splitlines()
+        before = left[-1] if left else []
         for k in range(min(MOST_OVERLAP, len(before), len(lines)), 0, -1):
             alike = [line_similarity(p, q) for p, q in zip(before[-k:], lines)]
             if min(alike) >= OVERLAP_LEAST and sum(alike) / k >= OVERLAP_MEAN:
-                lines = lines[k:]
+                del lines[:k]
                 break
         while lines and not lines[0].strip():
-            lines = lines[1:]
+            del lines[0]
         if lines:
-            out.append("\n".join(lines))
-            before = lines
-    return collapse_loops("\n".join(out)) or ""
+            left.append(lines)
+    return html_to_text("\n\n".join("\n".join(x) for x in left).strip())
 
 
 def prefer_refined(draft: str | None, refined: str | None) -> str | None:
     """FLT6: the refined text, unless it is blank or too short; a heading that it lost comes back from the draft."""
     d, r = draft or "", refined or ""
-    if not r.strip() or len(r.split()) < max(12, int(0.45 * len(d.split()))):
+    if not r.strip() or len(r.split()) < max(12, int(0.45 * max(1, len(d.split())))):
         return draft
     a, b = d.splitlines(), r.splitlines()
     head = next((x for x in a if x.strip()), "")
@@ -135,7 +135,7 @@ def prefer_refined(draft: str | None, refined: str | None) -> str | None:
         return refined
     for i, j in product(range(2, len(a)), range(2, len(b))):
         if a[i].strip() and b[j].strip() and line_similarity(a[i], b[j]) >= 0.7:
-            return "\n".join(a[:i] + b[j:])
+            return "\n".join(a[:i] + b[j:]).strip()
     return draft
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ LABELS = ("Исправленный текст:", "Исправленный те
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Inside a lambda Catalyst would compute an outer expression again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -94,21 +101,25 @@ def sentence_units(line: Column) -> Column:
 
 def pack(units: Column, limit: int, joiner: str) -> Column:
     """WIN8: consecutive units joined into packs of at most ``limit`` words; a longer unit is a pack of its own."""
-    n = lambda u: F.size(words(u))
+    sized = F.transform(units, lambda u: F.struct(u.alias("u"), F.size(words(u)).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
-    def step(a: Column, u: Column) -> Column:
-        full = a.open.isNotNull() & (a.n + n(u) > limit)
-        joined = F.when(a.open.isNull() | full, u).otherwise(F.concat(a.open, F.lit(joiner), u))
-        return F.struct(F.when(full, F.array_append(a.done, a.open)).otherwise(a.done).alias("done"), joined.alias("open"), F.when(full, n(u)).otherwise(a.n + n(u)).alias("n"))
+    def step(a: Column, x: Column) -> Column:
+        full = a.open.isNotNull() & (a.n + x.n > limit)
+        joined = F.when(a.open.isNull() | full, x.u).otherwise(F.concat(a.open, F.lit(joiner), x.u))
+        return F.struct(F.when(full, F.array_append(a.done, a.open)).otherwise(a.done).alias("done"), joined.alias("open"), F.when(full, x.n).otherwise(a.n + x.n).alias("n"))
 
-    return F.aggregate(units, start, step, lambda a: F.when(a.open.isNull(), a.done).otherwise(F.array_append(a.done, a.open)))
+    return F.aggregate(sized, start, step, lambda a: F.when(a.open.isNull(), a.done).otherwise(F.array_append(a.done, a.open)))
 
 
 def chunks(c: Column, limit: int) -> Column:
     """WIN9: words in runs of ``limit``, joined by spaces."""
-    w = words(c)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / limit).cast("int"))), lambda k: F.array_join(F.slice(w, k * limit + 1, limit), " "))
+    return runs_of(words(c), limit)
+
+
+def runs_of(array: Column, limit: int) -> Column:
+    """Elements in runs of ``limit``, joined by spaces; an empty array gives one empty run."""
+    return let(array, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / limit).cast("int"))), lambda k: F.array_join(F.slice(w, k * limit + 1, limit), " ")))
 
 
 def norm_line(c: Column) -> Column:
@@ -118,10 +129,20 @@ def norm_line(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """AGG14, SCL5: overlap of the word sets of two lines; 0 where either has none."""
-    x, y = (F.array_distinct(words(norm_line(c))) for c in (a, b))
+    return overlap(*(F.array_distinct(words(norm_line(c))) for c in (a, b)))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """Jaccard overlap of two sets, given as arrays; 0 where either is empty."""
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def neighbour_overlaps(c: Column) -> Column:
+    """AGG14 within a row: the overlap of each line but the first with the line before it; each line is cut into words once."""
+    sets = F.transform(F.split(c, "\n"), lambda x: F.array_distinct(words(norm_line(x))))
+    return let(sets, lambda w: F.transform(F.filter(w, lambda x, i: i > 0), lambda x, i: overlap(F.get(w, i), x)))
+
+
 def match_case(source: Column, candidate: Column) -> Column:
     """SCL14: the candidate in the source's case: all upper, first upper, or as it is."""
     first = F.substring(source, 1, 1)
@@ -148,6 +169,21 @@ def progress(base: Column, fraction: Column, span: Column) -> Column:
     return F.least(F.lit(0.999), F.greatest(F.lit(0.0), base + fraction * span))
 
 
+def phase(name: Column, page: Column, pages: Column) -> Column:
+    """WIN10: a phase, with its page (from 0) where a document has several."""
+    return F.when(pages == 1, name).otherwise(F.concat(name, F.lit(" · стр. "), (page + 1).cast("string"), F.lit("/"), pages.cast("string")))
+
+
+def correction_progress(fraction: Column) -> Column:
+    """WIN10: progress of the correction, the last hundredth of a job; null counts as 0."""
+    return F.least(F.lit(0.999), F.lit(0.99) + F.lit(0.009) * F.coalesce(fraction, F.lit(0.0)))
+
+
+def token_progress(nth: Column, estimate: Column, offset: Column, span: Column) -> Column:
+    """STR5: progress after the ``nth`` put of a token stream, whose first is the prompt: null for it, 0.98 at most."""
+    return F.when(nth > 0, F.least(F.lit(0.98), offset + span * (nth / F.greatest(F.lit(32), estimate))))
+
+
 def clip(c: Column, most: int = 1800) -> Column:
     """ORD4: the first ``most`` code points of the stripped text; '' for null."""
     return F.substring(strip(F.coalesce(c, F.lit(""))), 1, most)

@@ -80,19 +80,19 @@ def peaks(p: np.ndarray, distance: int, prominence: float) -> np.ndarray:
 def word_ranges(ink: np.ndarray, min_gap: int | None = None, min_width: int | None = None) -> list[tuple[int, int]]:
     """IMG4, WIN7: ranges of columns with ink (255) in a line, gaps below ``min_gap`` closed, narrow ones dropped."""
     height = ink.shape[0]
+    # fixed values: least gap and width, in pixels and in heights of the line; ink that makes a column count
     min_gap = max(12, int(0.3 * height)) if min_gap is None else min_gap
     min_width = max(8, int(0.2 * height)) if min_width is None else min_width
-    merged: list[tuple[int, int]] = []
-    for a, b in runs(smooth(ink.sum(axis=0) / 255, 5) > 0.4):
-        if merged and a - merged[-1][1] < min_gap:
-            merged[-1] = (merged[-1][0], b)
-        else:
-            merged.append((a, b))
-    return [(a, b) for a, b in merged if b - a >= min_width]
+    found = np.array(runs(smooth(ink.sum(axis=0) / 255, 5) > 0.4), int).reshape(-1, 2)
+    wide = found[1:, 0] - found[:-1, 1] >= min_gap  # gaps that part words
+    start, stop = found[np.append(True, wide)[: len(found)], 0], found[np.append(wide, True)[: len(found)], 1]
+    keep = stop - start >= min_width
+    return list(zip(start[keep].tolist(), stop[keep].tolist()))
 
 
 def page_bands(height: int, valleys: list[int], n: int = 3) -> list[tuple[int, int]]:
     """IMG10, JN6: overlapping bands of a tall page, cut at the valley nearest to each even cut."""
+    # fixed values: least height, slack and distance of cuts, overlap, least height of a band
     if n == 1 or height < 1400:
         return [(0, height)]
     cuts = [0]
@@ -100,7 +100,7 @@ def page_bands(height: int, valleys: list[int], n: int = 3) -> list[tuple[int, i
         target = height * k // n
         near = [v for v in valleys if abs(v - target) <= max(80, height // 8)]
         cut = min(near, key=lambda v: abs(v - target)) if near else target
-        cuts.append(cut if cut > cuts[-1] + 40 else target)
+        cuts.append(cut if k == 1 or cut > cuts[-1] + 40 else target)
     cuts.append(height)
     pad = max(48, int(height * 0.28 / n))
     bands = [(a if a == 0 else max(0, a - pad), b if b == height else min(height, b + pad)) for a, b in zip(cuts, cuts[1:])]

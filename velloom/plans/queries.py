@@ -57,17 +57,16 @@ def tex_strip(spark, sf):
 
 def sentence_units(spark, sf):
     d = lines.explode_lines(_t(spark, sf, "documents"), ["doc_id"])
-    return d.select("doc_id", "line_no", F.size(text.sentence_units(F.col("line"))).alias("n_units"))
+    return d.select("doc_id", "line_no", F.posexplode(text.sentence_units(F.col("line"))).alias("unit_no", "unit"))
 
 
 def packs_24(spark, sf):
     d = lines.explode_lines(_t(spark, sf, "documents"), ["doc_id"]).where(~text.is_blank(F.col("line")))
-    return d.select("doc_id", "line_no", F.size(text.pack(text.sentence_units(F.col("line")), 24, " ")).alias("n_packs"))
+    return d.select("doc_id", "line_no", F.posexplode(text.pack(text.sentence_units(F.col("line")), 24, " ")).alias("pack_no", "pack"))
 
 
 def chunk_words(spark, sf):
-    c = F.posexplode(text.chunks(F.col("text"), 24)).alias("chunk_no", "chunk")
-    return _t(spark, sf, "documents").select("doc_id", c).select("doc_id", "chunk_no", F.size(text.words(F.col("chunk"))).alias("n_words"))
+    return _t(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(text.chunks(F.col("text"), 24)).alias("chunk_no", "chunk"))
 
 
 def paragraph_blocks(spark, sf):
@@ -92,7 +91,7 @@ def counter_rate(spark, sf):
     e = _t(spark, sf, "events")
     w = "sum(cast(value as decimal(18,2))) over (partition by user_id order by ts, event_id)"
     e = e.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.expr(f"cast({w} as double)").alias("sent"))
-    return jobs.rates(e, "user_id", "at", "sent").select("event_id", "user_id", "rate")
+    return jobs.rates(e, "user_id", "at", "sent", tie="event_id").select("event_id", "user_id", "rate")
 
 
 def job_retention(spark, sf):
@@ -112,16 +111,13 @@ def validate_upload(spark, sf):
     e = _t(spark, sf, "events")
     kind = F.when(F.col("event_id") % 5 == 0, "text/plain").otherwise("image/png")
     engine = F.when(F.col("event_id") % 7 == 0, "other").otherwise("trocr")
-    return e.select("event_id", jobs.upload_status(kind, engine, F.lit("none"), (F.col("event_id") % 11) * 4_000_000).alias("status"))
+    corrector = F.when(F.col("event_id") % 13 == 0, "magic").when(F.col("event_id") % 13 == 1, "spell").otherwise("none")
+    return e.select("event_id", jobs.upload_status(kind, engine, corrector, (F.col("event_id") % 11) * 4_000_000).alias("status"))
 
 
 def jaccard_lines(spark, sf):
-    from pyspark.sql import Window
-
-    d = lines.explode_lines(_t(spark, sf, "documents"), ["doc_id"])
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    d = d.withColumn("before", before).where("before is not null")
-    return d.select("doc_id", "line_no", F.round(text.jaccard(F.col("before"), F.col("line")), 9).alias("jaccard"))
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(text.neighbour_overlaps(F.col("text"))).alias("before", "jaccard"))
+    return d.select("doc_id", (F.col("before") + 1).alias("line_no"), F.round("jaccard", 9).alias("jaccard"))
 
 
 def box_smooth(spark, sf):
@@ -150,19 +146,33 @@ def html_to_text_full(spark, sf):
     return _t(spark, sf, "pages").select("page_id", similarity.each(similarity.html_to_text)(F.col("html")).alias("text"))
 
 
+def _alike_lines(df: DataFrame, keys: list[str]) -> DataFrame:
+    split = F.split("text", "\n")
+    pairs = text.let(split, lambda x: F.transform(F.filter(x, lambda y, i: i > 0), lambda y, i: F.struct((i + 1).alias("line_no"), F.get(x, i).alias("before"), y.alias("line"))))
+    d = df.where("text is not null").select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
+    return d.select(*keys, "line_no", F.round(similarity.each(similarity.line_similarity, "double")(F.col("line"), F.col("before")), 9).alias("similarity"))
+
+
 def line_similarity(spark, sf):
-    from pyspark.sql import Window
+    return _alike_lines(_t(spark, sf, "documents"), ["doc_id"])
+
 
-    d = lines.explode_lines(_t(spark, sf, "conversations"), ["conv_id", "turn"])
-    before = F.lag("line").over(Window.partitionBy("conv_id", "turn").orderBy("line_no"))
-    d = d.withColumn("before", before).where("before is not null")
-    return d.select("conv_id", "turn", "line_no", similarity.each(similarity.line_similarity, "double")(F.col("line"), F.col("before")).alias("similarity"))
+def turn_similarity(spark, sf):
+    return _alike_lines(_chats(spark, sf), ["conv_id"])
 
 
 def near_line_merge(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", similarity.each(similarity.merge_near_lines)(F.col("text")).alias("text"))
+
+
+def near_turn_merge(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", similarity.each(similarity.merge_near_lines)(F.col("text")).alias("text"))
 
 
+def phrase_loops(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", text.phrase_loops(F.col("text")).alias("text"))
+
+
 def refine_guard(spark, sf):
     c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("refined"), F.min_by("text", "turn").alias("draft"))
     return c.select("conv_id", similarity.each(similarity.prefer_refined)(F.col("draft"), F.col("refined")).alias("text"))
@@ -185,15 +195,16 @@ def word_confidence(spark, sf):
 
 
 def page_confidence(spark, sf):
-    c = _t(spark, sf, "conversations").where("turn < 1 + conv_id % 2")
-    return c.groupBy("conv_id").agg(jobs.page_confidence(F.length("text").cast("double")).alias("confidence"))
+    c = _t(spark, sf, "conversations").withColumn("part", F.floor(F.col("turn") / 2).cast("long"))
+    return c.groupBy("conv_id", "part").agg(jobs.page_confidence(F.length("text").cast("double")).alias("confidence"))
 
 
 def export_status(spark, sf):
     e = _t(spark, sf, "events")
     fmt = F.when(F.col("event_id") % 6 == 0, "rtf").otherwise("docx")
     status = F.when(F.col("event_type") == "view", "running").otherwise("done")
-    return e.select("event_id", jobs.export_status(fmt, F.col("user_id") % 4 != 0, status).alias("status"))
+    name = jobs.export_name(F.md5(F.col("event_id").cast("string").cast("binary")), fmt)
+    return e.select("event_id", jobs.export_status(fmt, F.col("user_id") % 4 != 0, status).alias("status"), name.alias("file_name"))
 
 
 def cap_runs(spark, sf):
@@ -261,7 +272,18 @@ def _n(c: str) -> str:
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) line_no from documents where text is not null)"
 _CHAT = "(select conv_id, string_agg(text, chr(10) || chr(10) order by turn) text, count(*) pages from conversations group by conv_id)"
 _CHAT_LINES = f"(select conv_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) line_no from {_CHAT})"
-_UNITS = f"list_filter(string_split(regexp_replace(line, '([.!?…]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda u: regexp_matches(u, '{_BLACK}'))"
+UNITS = f"list_filter(list_transform(string_split(regexp_replace(line, '([.!?…]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda u: {_strip('u')}), lambda u: u <> '')"
+
+
+def packs_sql(units: str, limit: int, joiner: str) -> str:
+    """A list of packs of a list of units: a fold over structs of closed packs, the open one and its words."""
+    each = f"list_transform({units}, lambda u: {{'d': []::varchar[], 'o': u, 'w': {_n('u')}}})"
+    full = f"a.w + b.w > {limit}"
+    step = f"{{'d': case when {full} then list_append(a.d, a.o) else a.d end, 'o': case when {full} then b.o else a.o || '{joiner}' || b.o end, 'w': case when {full} then b.w else a.w + b.w end}}"
+    folded = f"list_reduce({each}, lambda a, b: {step})"
+    return f"list_append(({folded}).d, ({folded}).o)"
+
+
 _PROFILE = "(select event_id % 50 page, event_id // 50 y, value from events)"
 _MINIMA = f"(select page, y, value from (select *, lag(value) over w a, lead(value) over w b, max(value) over (partition by page) m from {_PROFILE} window w as (partition by page order by y)) where value <= a and value <= b and value <= 0.32 * m)"
 
@@ -280,6 +302,14 @@ def _html_sql(c: str) -> str:
     return f"case when contains({c}, '<') then {_strip(s)} else {_strip(c)} end"
 
 
+def oracle_blocks() -> str:
+    return f"select conv_id, row_number() over (partition by conv_id order by g) - 1 block_no, block, n_lines from (select conv_id, g, string_agg(line, chr(10) order by line_no) block, count(*) n_lines from (select *, sum(({_n('line')} = 0)::int) over (partition by conv_id order by line_no) g from {_CHAT_LINES}) where {_n('line')} > 0 group by conv_id, g)"
+
+
+def oracle_job_state() -> str:
+    return "select user_id job_id, arg_max(s, event_id) filter (s is not null) status, arg_max(value, event_id) filter (value is not null) \"value\", count(*) changes from (select *, case event_type when 'error' then 'error' when 'purchase' then 'done' when 'view' then 'running' end s from events) group by user_id"
+
+
 def _oracle() -> dict[str, str]:
     tex = "text"
     for pattern, new in ((r"(?s)\\begin\{[a-zA-Z*]+\}.*?\\end\{[a-zA-Z*]+\}", "''"), (r"\$\$.*?\$\$|\$[^$\n]+\$", "''"), (rf"\\(?:{text.TEX_COMMANDS})(?:\s*\{{[^{{}}]*\}})*", "''"), (r"\\[a-zA-Z]+\*?", "''"), (r"[ \t]+\n", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)")):
@@ -297,18 +327,18 @@ def _oracle() -> dict[str, str]:
         "page_concat": f"select * from {_CHAT}",
         "run_cap_lines": f"select doc_id, count(*) n_kept, string_agg(line, chr(10) order by line_no) text from (select *, lag(line) over w a, lag(line, 2) over w b from {_LINES} window w as (partition by doc_id order by line_no)) where not coalesce(line = a and line = b, false) group by doc_id",
         "tex_strip": f"select doc_id, {_strip(tex)} text from documents",
-        "sentence_units": f"select doc_id, line_no, greatest(1, len({_UNITS})) n_units from {_LINES}",
-        "packs_24": f"select doc_id, line_no, list_reduce(list_transform({_UNITS}, lambda u: {{'p': 0, 'w': {_n('u')}}}), lambda a, b: case when a.p > 0 and a.w + b.w > 24 then {{'p': a.p + 1, 'w': b.w}} else {{'p': greatest(a.p, 1), 'w': a.w + b.w}} end, {{'p': 0, 'w': 0::bigint}}).p n_packs from {_LINES} where {_n('line')} > 0",
-        "chunk_words": f"select doc_id, k chunk_no, least(24, n - 24 * k) n_words from (select doc_id, n, unnest(range(greatest(1, (n + 23) // 24))) k from (select doc_id, {_n('text')} n from documents where text is not null))",
-        "paragraph_blocks": f"select conv_id, row_number() over (partition by conv_id order by g) - 1 block_no, block, n_lines from (select conv_id, g, string_agg(line, chr(10) order by line_no) block, count(*) n_lines from (select *, sum(({_n('line')} = 0)::int) over (partition by conv_id order by line_no) g from {_CHAT_LINES}) where {_n('line')} > 0 group by conv_id, g)",
+        "sentence_units": f"select doc_id, line_no, unnest(range(len(u))) unit_no, unnest(u) unit from (select doc_id, line_no, case when {_n('line')} = 0 then [line] else {UNITS} end u from {_LINES})",
+        "packs_24": f"select doc_id, line_no, unnest(range(len(p))) pack_no, unnest(p) pack from (select doc_id, line_no, {packs_sql(UNITS, 24, ' ')} p from {_LINES} where {_n('line')} > 0)",
+        "chunk_words": f"select doc_id, k chunk_no, array_to_string(w[24 * k + 1 : 24 * k + 24], ' ') chunk from (select doc_id, w, unnest(range(greatest(1, (len(w) + 23) // 24))) k from (select doc_id, regexp_extract_all(text, '{_BLACK}+') w from documents where text is not null))",
+        "paragraph_blocks": oracle_blocks(),
         "export_rows": f"select conv_id, row_number() over (partition by conv_id order by line_no) row_no, line from {_CHAT_LINES} where {_n('line')} > 0",
         "collapse_guard": f"select doc_id, case when {_n('c')} = 0 or ({n('text')} >= 4 and {n('c')} < greatest(2, trunc({n('text')} * 0.5))) or ({n('text')} >= 4 and {n('c')} >= 3 and {n('c')} >= {n('c')}) or length({_strip('c')}) > greatest(80, trunc(length(text) * 2.8)) then text else c end = c took_candidate from (select doc_id, text, {cand} c from documents)",
         "form_fragment": r"select page_id, coalesce(contains(html, 'data-bbox') or contains(lower(html), '<div') or contains(html, '___') or regexp_matches(html, '«\s*\d|\d\s*»'), false) form from pages",
-        "counter_rate": "select event_id, user_id, coalesce(round(greatest(0.0, (sent - lag(sent) over w) / greatest(1e-3, \"at\" - lag(\"at\") over w)) * (8 / 1e6), 6), 0.0) rate from (select event_id, user_id, epoch_us(ts) / 1e6 \"at\", sum(value::decimal(18,2)) over (partition by user_id order by ts, event_id)::double sent from events) window w as (partition by user_id order by \"at\")",
+        "counter_rate": "select event_id, user_id, coalesce(round(greatest(0.0, (sent - lag(sent) over w) / greatest(1e-3, \"at\" - lag(\"at\") over w)) * (8 / 1e6), 2), 0.0) rate from (select event_id, user_id, epoch_us(ts) / 1e6 \"at\", sum(value::decimal(18,2)) over (partition by user_id order by ts, event_id)::double sent from events) window w as (partition by user_id order by \"at\", event_id)",
         "job_retention": "select event_id, ts, user_id from events order by ts desc, event_id desc limit 50",
-        "job_state": "select user_id job_id, arg_max(s, event_id) filter (s is not null) status, arg_max(value, event_id) filter (value is not null) \"value\", count(*) changes from (select *, case event_type when 'error' then 'error' when 'purchase' then 'done' when 'view' then 'running' end s from events) group by user_id",
+        "job_state": oracle_job_state(),
         "log_filter": "select event_id, '/api/export/' || event_type m from events where event_id % 3 = 2",
-        "validate_upload": f"select event_id, case when event_id % 5 = 0 then 415 when event_id % 7 = 0 then 400 when event_id % 11 = 0 then 400 when (event_id % 11) * 4000000 > {jobs.MOST_BYTES} then 413 else 200 end status from events",
+        "validate_upload": f"select event_id, case when event_id % 5 = 0 then 415 when event_id % 7 = 0 then 400 when event_id % 13 = 0 then 400 when event_id % 11 = 0 then 400 when (event_id % 11) * 4000000 > {jobs.MOST_BYTES} then 413 else 200 end status from events",
         "jaccard_lines": f"select doc_id, line_no, round(case when len(x) = 0 or len(y) = 0 then 0.0 else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end, 9) jaccard from (select doc_id, line_no, {jac('a')} x, {jac('line')} y from (select *, lag(line) over (partition by doc_id order by line_no) a from {_LINES}) where a is not null)",
         "box_smooth": f"select page, y, round(sum(value) over (partition by page order by y rows between 7 preceding and 7 following) / 15, 6) smooth from {_PROFILE}",
         "local_minima": f"select * from {_MINIMA}",
@@ -317,8 +347,8 @@ def _oracle() -> dict[str, str]:
         "text_selection": "select conv_id, turn, case when turn % 3 <> 0 and conv_id % 2 = 0 and text is not null then '= ' || text else coalesce(text, '') end text from conversations",
         "progress_clamp": "select event_id, round(least(0.999::double, greatest(0::double, (event_id % 5) / 5 + value / 250 * 0.2::double)), 6) progress from events",
         "word_confidence": f"select conv_id, turn, round(coalesce(list_avg(list_filter(list_transform(regexp_extract_all(text, '{_BLACK}+'), lambda w: (length(w) % 7 - 1)::double), lambda c: c >= 0)), 0), 6) confidence from conversations",
-        "page_confidence": "select conv_id, case when count(*) = 1 then max(length(text))::double end confidence from conversations where turn < 1 + conv_id % 2 group by conv_id",
-        "export_status": "select event_id, case when event_id % 6 = 0 then 400 when user_id % 4 = 0 then 404 when event_type = 'view' then 409 else 200 end status from events",
+        "page_confidence": "select conv_id, turn // 2 part, case when count(*) = 1 then max(length(text))::double end confidence from conversations group by all",
+        "export_status": "select event_id, case when event_id % 6 = 0 then 400 when user_id % 4 = 0 then 404 when event_type = 'view' then 409 else 200 end status, 'ocr-' || substr(md5(event_id::varchar), 1, 8) || case when event_id % 6 = 0 then '.rtf' else '.docx' end file_name from events",
         "cap_runs": f"select doc_id, line_no, line from (select *, lag(line) over w a, lag(line, 2) over w b from {_LINES} window w as (partition by doc_id order by line_no)) where not coalesce(line = a and line = b, false)",
         "step_timings": "select event_id, trunc(value * 1000)::bigint recognize_ms, trunc((value + r - value) * 1000)::bigint correct_ms, trunc((value + r) * 1000)::bigint total_ms from (select event_id, value, (epoch_us(ts) % 1000)::double r from events)",
         "profile_middles": f"select page, round(quantile_cont(value, 0.5), 6) median, max(value) filter (k = n // 2 + 1) upper_median, round(quantile_cont(value, 0.9), 6) paper from (select *, row_number() over (partition by page order by value) k, count(*) over (partition by page) n from {_PROFILE}) group by page",
@@ -332,12 +362,16 @@ def _oracle() -> dict[str, str]:
     }
 
 
-_QUERIES = (text_selection, progress_clamp, word_confidence, page_confidence, export_status, cap_runs, step_timings, profile_middles, regroup_lines, unknown_words, prompt_clip, answer_text, settings, repeated_tail, word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, near_line_merge, refine_guard)
+_QUERIES = (text_selection, progress_clamp, word_confidence, page_confidence, export_status, cap_runs, step_timings, profile_middles, regroup_lines, unknown_words, prompt_clip, answer_text, settings, repeated_tail, word_count, html_to_text, page_concat, run_cap_lines, tex_strip, sentence_units, packs_24, chunk_words, paragraph_blocks, export_rows, collapse_guard, form_fragment, counter_rate, job_retention, job_state, log_filter, validate_upload, jaccard_lines, box_smooth, local_minima, valley_sessions, human_bytes, match_case, html_to_text_full, line_similarity, turn_similarity, near_line_merge, near_turn_merge, phrase_loops, refine_guard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    from . import service
+
+    return {f.__name__: f for f in (*_QUERIES, *service.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle()
+    from . import service
+
+    return _oracle() | service.oracle()
