@@ -271,7 +271,7 @@ def oracle() -> dict[str, str]:
         "token_steps": "select event_id, case when event_id % 40 > 0 then round(least(0.98::double, 0.05::double + 0.9::double * ((event_id % 40) / greatest(32, event_id % 3 * 20))), 9) end progress from events",
         "capabilities": f"select 'ok' status, string_agg(distinct lang, ',' order by lang) languages, '{routing.DEFAULT_MODEL}' corrector_model from documents",
         "look_alikes": f"with known as (select distinct word from ({letters('conversations')})), u as (select distinct word from ({letters('documents')}) where length(word) >= 5 and word not in (from known)), p as (select word, i, v from (select word, unnest(range(1, length(word) + 1)) i from u) join ({look}) on substr(word, i, 1) = k), c as (select a.word, {three} variant from p a join p b on a.word = b.word and a.i < b.i join p c on a.word = c.word and b.i < c.i) select word, min(variant) pick from c where variant in (from known) group by word having count(distinct variant) = 1",
-        "spelled": f"with known as (select word, count(*) n from ({letters('benchmark')}) group by word), u as (select distinct word from ({letters('conversations')}) where length(word) >= 4 and word not in (select word from known)) select u.word, arg_max(k.word, {{'n': k.n, 'w': k.word}}) pick from u join known k on length(k.word) >= 4 and abs(length(u.word) - length(k.word)) <= 1 and damerau_levenshtein(u.word, k.word) = 1 group by u.word",
+        "spelled": f"with known as (select word, count(*) n from ({letters('benchmark')}) group by word), u as (select distinct word from ({letters('conversations')}) where length(word) >= 4 and word not in (select word from known)) select u.word, arg_max(k.word, {{'n': k.n, 'w': k.word}}) pick from u join known k on length(k.word) >= 4 and abs(length(u.word) - length(k.word)) <= 1 and (length(u.word) <= 5 or left(u.word, 2) = left(k.word, 2) or right(u.word, 2) = right(k.word, 2)) and damerau_levenshtein(u.word, k.word) = 1 group by u.word",
         "lexicon_words": f"select word, count(*) n from ({letters('conversations')}) where length(word) >= 2 and word in ({letters('benchmark')}) group by word",
         "recognised": f"select doc_id::varchar job_id, case when doc_id % 5 = 0 then 415 when doc_id % 7 = 0 then 400 when coalesce(text, '') = '' then 400 else 200 end http_status, case when {ok} then 'done' when {d} then 'error' end status, case when {ok} then 1.0::double when {d} then 0.0::double end progress, case when doc_id % 7 = 0 then 'other' when doc_id % 4 = 0 then 'trocr' when doc_id % 4 = 1 then 'chandra' else 'tesseract' end engine, case when doc_id % 3 = 0 then 'spell' else 'none' end corrector, case when {ok} then text end text, case when {ok} and doc_id % 3 = 0 then '[' || text || ']' end text_corrected, case when {ok} then {q._words_sql('text')} end::int words, case when {ok} then 50.0::double end confidence, case when {ok} then 1 end pages, case when {d} and doc_id % 4 = 1 then 'no such engine here' end error from documents",
     }
