@@ -120,11 +120,33 @@ def features(samples: bytes) -> tuple[int, np.ndarray, list[dict], list[dict]]:
     return len(mel), tensors.reshape(windows, STEPS, MELS), spans, [{"start": a * second, "stop": b * second} for a, b in segments(level)]
 
 
+@cache
+def tensor_schema() -> pa.Schema:
+    return pa.schema([("mel", pa.fixed_shape_tensor(pa.float32(), (STEPS, MELS))), ("start", pa.float64()), ("stop", pa.float64())])
+
+
+def write_tensors(tensors: np.ndarray, spans: list[dict]) -> bytes:
+    """Windows and their time spans as an Arrow stream of fixed-shape tensors."""
+    schema = tensor_schema()
+    values = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), STEPS * MELS)
+    columns = [pa.ExtensionArray.from_storage(schema.field("mel").type, values), *(pa.array([x[k] for x in spans], pa.float64()) for k in ("start", "stop"))]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as stream:
+        stream.write_batch(pa.record_batch(columns, schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """The windows of a recording: mel (fixed-shape tensors), start, stop."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
 def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One recording for each row: the text's bytes as 8-bit samples in ``media``, the samples read back from it in ``payload``.
 
-    ``tensors`` holds float32 log-mel values of shape (windows, STEPS, MELS) in row order, ``spans`` the time of each window in
-    seconds, ``segments`` the stretches of high energy. ``tensor_array`` turns ``tensors`` into Arrow's fixed-shape tensor type.
+    ``tensors`` is an Arrow stream whose rows are a recording's windows: log-mel values of shape (STEPS, MELS) in Arrow's fixed-shape
+    tensor type, and their time spans in seconds, which ``spans`` repeats; ``read_tensors`` opens it, as any Arrow reader does.
+    ``segments`` are the stretches of high energy.
     Null and empty texts are one block of fill; repeated rows are repeated; a null doc_id is kept; an empty table gives an empty
     result; other columns are ignored. Results go out in lots of about AT_MOST bytes.
     """
@@ -139,7 +161,7 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 media = write_wav(payload(text))
                 back = read_wav(media)
                 frames, tensors, spans, parts = features(back)
-                out.append((name, len(text), media, back, frames, tensors.tobytes(), spans, parts))
+                out.append((name, len(text), media, back, frames, write_tensors(tensors, spans), spans, parts))
                 held += 4 * len(media)
                 if held > AT_MOST:
                     yield done()
@@ -150,11 +172,6 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def tensor_array(tensors: bytes) -> pa.FixedShapeTensorArray:
-    """A recording's tensors as Arrow's canonical fixed-shape tensor type, one value a window."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.frombuffer(tensors, np.float32).reshape(-1, STEPS, MELS))
-
-
 def op8_audio(spark, sf_dir: str) -> DataFrame:
     """Query: digests of the stored recording and features of every document."""
     made = audio(spark.read.parquet(f"{sf_dir}/documents.parquet"))
