@@ -65,3 +65,50 @@ def test_large_group_and_recall(spark):
     assert (found[3000:4300] == want[3000:4300]).all() and want[3000:4300].min() > 1000
     near = want[4300:] > 0
     assert near.sum() > 300 and (found[4300:][near] > 0).mean() >= 0.9
+
+
+def test_any_number_of_ranges_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(700, 12)), rng.normal(size=12) + rng.normal(size=(300, 12)) * 0.35]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    # few neighbours and one lot of passes, so that what is found depends on the order alone
+    found = []
+    for n, rows in ((1, 100_000), (5, 100_000), (60, 20), (8, 300)):
+        monkeypatch.setattr(embeddings, "RANGE", rows)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = embeddings.near_vectors(df.repartition(n), passes=2, neighbours=30, recall=0.0)
+            found.append(sorted(map(tuple, got.collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert found[0] == found[1] == found[2] == found[3] and sum(r[1] > 0 for r in found[0]) > 50
+
+
+def test_passes_go_on_in_a_crowd(spark):
+    """A third of the rows in one cone without links but for planted pairs: the estimate asks for more passes there."""
+    rng = np.random.default_rng(9)
+    near = lambda v: v + rng.normal(size=v.shape) * 0.42 * np.linalg.norm(v, axis=1, keepdims=True) / 8
+    far, axis = rng.normal(size=(6000, 64)), rng.normal(size=64) * 1.25
+    cone = axis + rng.normal(size=(3000, 64))
+    x = np.concatenate([far, cone, near(far[:300]), near(cone[:300])]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, neighbours=48).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and want[9300:].sum() > 100
+    assert found[:6000].sum() >= 0.95 * want[:6000].sum() and found[6000:].sum() >= 0.9 * want[6000:].sum()
+
+
+def test_against_its_sql(spark, table):
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.normal(size=(6, 16)) * 0.2 for c in rng.normal(size=(30, 16))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0, "k", "v") for i, v in enumerate(x)] + [(500, None, 0, "k", "v"), (501, [0.0] * 16, 0, "k", "v"), (502, x[0].tolist(), 0, "k", "v")]
+    d = table(rows, DDL, "embeddings")
+    got = embeddings.op6_embeddings(spark, d)
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as from '{d}/embeddings.parquet/*.parquet'")
+    want = db.sql(embeddings.oracle_sql())
+    assert sorted(map(tuple, got.collect())) == sorted(want.select(*got.columns).fetchall())

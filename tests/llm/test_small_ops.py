@@ -165,6 +165,18 @@ def test_mixing(spark, table, rows):
     assert mixing.op9_mixing(spark, table([], DDL)).collect() == []
 
 
+def test_mixing_against_its_sql(spark, table, rows):
+    import duckdb
+
+    rows = [(2000 + i, "w " * (i % 11), f"s{i % 9}", "s", "k", "r") for i in range(200)]
+    d = table(rows, DDL)
+    got = mixing.op9_mixing(spark, d)
+    db = duckdb.connect()
+    db.sql(f"create view documents as from '{d}/documents.parquet/*.parquet'")
+    want = db.sql(mixing.oracle_sql())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.select(*got.columns).fetchall(), key=str)
+
+
 def test_curriculum_follows_the_schedule(spark):
     docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
     mixed = mixing.mix(docs, cut=False)
@@ -214,4 +226,57 @@ def test_audio_parts():
     assert np.abs(audio.resample(x, 500, 700) - full[500:1200]).max() < 1e-4
     frames, tensors, spans, _ = audio.features(tone.tobytes())
     assert tensors.shape == (len(spans), audio.STEPS, audio.MELS) and (tensors.reshape(-1, audio.MELS)[:frames] == mel).all()
-    assert audio.tensor_array(tensors.tobytes()).type.shape == [audio.STEPS, audio.MELS]
+    stored = audio.read_tensors(audio.write_tensors(tensors, spans))
+    assert stored.schema.field("mel").type.shape == [audio.STEPS, audio.MELS] and stored.select(["start", "stop"]).to_pylist() == spans
+    assert (stored["mel"].combine_chunks().to_numpy_ndarray() == tensors).all()
+
+
+def slow_audio(data):
+    """Features by their definitions, one value at a time in double precision: frames, log-mel rows, levels."""
+    x = [b / 128 - 1 for b in data]
+    n = 32
+    taps = [np.sinc((t - 15.5) / 3) * (0.5 - 0.5 * np.cos(2 * np.pi * (t + 1) / (n + 1))) for t in range(n)]
+    taps = [2 * t / sum(taps) for t in taps]
+    # two samples for each three: zeros between, filtered, every third kept
+    y, frames = [], max(1, 1 + -(-(-(-len(x) * 2 // 3) - 400) // 160))
+    for m in range((frames - 1) * 160 + 400):  # the filter rings on after the last sample
+        at = 3 * m
+        y.append(sum(taps[k] * x[(at - k) // 2] for k in range(n) if (at - k) % 2 == 0 and 0 <= (at - k) // 2 < len(x)))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(8000) * i / 41 / 2595) - 1) for i in range(42)]
+    rows, levels = [], []
+    for a in range(0, frames * 160, 160):
+        cut = [y[a + k] * (0.5 - 0.5 * np.cos(2 * np.pi * k / 399)) for k in range(400)]
+        power = [abs(sum(c * np.exp(-2j * np.pi * f * k / 512) for k, c in enumerate(cut))) ** 2 for f in range(257)]
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            tri = [max(0, min((f * 8000 / 256 - lo) / (mid - lo), (hi - f * 8000 / 256) / (hi - mid))) for f in range(257)]
+            row.append(np.log(max(1e-10, sum(p * t for p, t in zip(power, tri)))))
+        rows.append(row)
+        levels.append(10 * np.log10(max(1e-10, sum(c * c for c in cut) / 400)))
+    return rows, levels
+
+
+def slow_segments(levels):
+    mean, on, out = sum(levels) / len(levels), False, []
+    for i, v in enumerate(levels):
+        if not on and v > mean + audio.OPEN_DB:
+            on = True
+            out.append([i, len(levels)])
+        elif on and v < mean + audio.KEEP_DB:
+            on = False
+            out[-1][1] = i
+    return [tuple(x) for x in out]
+
+
+def test_features_by_their_definitions(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh .\nüß") * rng.randint(1, 60) for _ in range(60))[:1100]
+    row = audio.audio(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    rows, levels = slow_audio(bytes(row.payload))
+    stored = audio.read_tensors(bytes(row.tensors))
+    got = stored["mel"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert row.frames == len(rows) and np.abs(got[: len(rows)] - np.array(rows)).max() < 2e-2 and not got[len(rows) :].any()
+    second = audio.HOP / audio.OUT_RATE
+    assert [(round(s.start / second), round(s.stop / second)) for s in row.segments] == slow_segments(levels)
+    assert [(s.start, s.stop) for s in row.spans] == [tuple(x.values()) for x in stored.select(["start", "stop"]).to_pylist()]

@@ -250,3 +250,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
 def op6_embeddings(spark, sf_dir: str) -> DataFrame:
     """Query: links and components of all embeddings at cosine 0.9."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def oracle_sql() -> str:
+    """The query in SQL, by all pairs."""
+    return f"""with recursive e as (select vec_id, embedding::double[] v from embeddings where len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding) and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    n as (select *, sqrt(list_dot_product(v, v)) norm from e),
+    l as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {LEAST}),
+    r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+    select vec_id, coalesce(n_links, 0) n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept from embeddings
+    left join (select a, count(*) n_links from l group by a) x on x.a = vec_id left join (select a, min(b) m from r group by a) y on y.a = vec_id"""

@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    kept = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col(id_col), F.lit("order")).alias("turn")))
+    kept = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), F.md5(F.concat(F.col(id_col).cast("string"), F.lit("order")).cast("binary")).alias("turn")))
     totals = kept.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     rows = sum(r["n"] for r in totals)
@@ -76,8 +76,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     curve = "array<struct<f0:double,f1:double,t0:double,dt:double,w0:double,w1:double>>"
     table = [(r["source"], i, r["size"], t, round(t), demand(schedules[i % len(schedules)])) for i, (r, t) in enumerate(zip(totals, targets))]
     sources = spark.createDataFrame(table, f"name string, rank int, source_size long, target double, words long, curve {curve}")
-    parts = F.lit(max(256, -(-rows // ROWS)))
-    ranked = kept.join(sources, kept.source.eqNullSafe(sources.name)).withColumn("part", F.pmod(F.shiftrightunsigned("turn", 20), parts))
+    parts = max(256, -(-rows // ROWS))
+    # a range of the order is a part
+    part = F.coalesce(F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * parts / 2**32).cast("int"), F.lit(0))
+    ranked = kept.join(sources, kept.source.eqNullSafe(sources.name)).withColumn("part", part)
     sums = ranked.groupBy("rank", "part").agg(F.sum("size").alias("of_part"))
     earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "part", F.coalesce(F.sum("of_part").over(earlier), F.lit(0)).alias("before_part"))
@@ -105,13 +107,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
-    """The copies that a mix takes, range-sorted by training position: (doc_id, source, copy, words, position)."""
+    """The copies that a mix takes, range-sorted by training position: (doc_id, source, copy, words, position).
+
+    Copies at one position follow doc_id and copy; a null doc_id comes first among them; an empty mix gives an empty result.
+    """
     copies = mixed.select("doc_id", "source", F.explode("copies").alias("c")).select("doc_id", "source", "c.copy", "c.words", "c.position")
     return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    """Query: what a mix of all documents' sources at weights 1, 2, 3 takes of each document, and when it is first read."""
+    """Query: what a mix of all documents' sources at weights 1, 2, 3 takes of each document, range-sorted by its first training position.
+
+    Documents of which nothing is taken come last.
+    """
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     first = F.try_element_at(F.filter("copies", lambda c: c.copy == 0), F.lit(1))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first.position, 9).alias("first_position"), F.size("copies").alias("n_copies"))
+    done = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first.position, 9).alias("first_position"), F.size("copies").alias("n_copies"))
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return done.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def oracle_sql() -> str:
+    """The query in SQL. Sources ordered by the ratio of cap to weight fill up one after the other; the first that doesn't sets the unit."""
+    curve = "case (rank % 3)::int " + " ".join(f"when {i} then {[dict(zip(('f0', 'f1', 't0', 'dt', 'w0', 'w1'), (1e300 if x == inf else x for x in p))) for p in demand(k)]}" for i, k in enumerate(SCHEDULES)) + " end"
+    return f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) size, md5(doc_id::varchar || 'order') turn from documents),
+    s as (select source, source_size, rank, rank % 3 + 1.0::double weight from (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by source)),
+    o as (select *, {CAP} * source_size cap_, {CAP} * source_size / weight ratio, sum(source_size) over () total, sum(weight) over () weights, row_number() over (order by {CAP} * source_size / weight, rank) k from s),
+    u as (select *, (total - coalesce(sum(cap_) over before, 0)) / (weights - coalesce(sum(weight) over before, 0)) unit from o window before as (order by k rows between unbounded preceding and 1 preceding)),
+    f as (select unit, k from u where weight * unit <= cap_ order by k limit 1),
+    t as (select source, source_size, rank, target, round_even(target, 0)::bigint words, {curve} curve from (select u.*, case when f.k is not null and u.k >= f.k then weight * f.unit else cap_ end::double target from u left join f on true)),
+    p as (select d.doc_id, d.size, t.*, coalesce(sum(d.size) over (partition by d.source order by turn nulls first, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0)::bigint before from d join t on d.source is not distinct from t.source),
+    c as (select *, list_transform(range({CAP}), lambda k: greatest(0, least(words - (k * source_size + before), size))) w, before / greatest(words, 1) done from p),
+    x as (select *, list_filter(curve, lambda q: q.f0 <= done and done < q.f1)[1] q from c)
+    select doc_id, size, source_size, target, list_sum(w)::bigint taken, case when w[1] > 0 then round(q.t0 + least(q.dt, 2 * (done - q.f0) / greatest(q.w0 + sqrt(greatest(0::double, q.w0 * q.w0 + 2 * ((q.w1 - q.w0) / q.dt) * (done - q.f0))), 1e-300::double)), 9) end first_position, len(list_filter(w, lambda y: y > 0))::int n_copies from x"""
