@@ -126,6 +126,16 @@ def office_files(spark, sf):
     return both.mapInPandas(read, "file_name string, blocks long, parts long")
 
 
+def exported(spark, sf):
+    """Requests for files of the conversations, some of which can't be met; the length and digest of what is written."""
+    n = F.col("conv_id")
+    chats = q._chats(spark, sf)
+    held = chats.where(n % 5 > 0).select(n.cast("string").alias("job_id"), F.when(n % 4 == 0, "running").otherwise("done").alias("status"), "text", F.when(n % 3 == 0, F.concat(F.lit("= "), F.col("text"))).alias("text_corrected"))
+    asked = chats.select(n.cast("string").alias("job_id"), F.when(n % 7 == 0, "rtf").when(n % 7 < 4, "md").otherwise("txt").alias("format"), F.when(n % 2 == 0, "corrected").otherwise("text").alias("which"))
+    made = exports.export(asked, held)
+    return made.select("job_id", "format", "which", "http_status", "file_name", "media_type", F.md5("content").alias("md5"))
+
+
 def page_window(spark, sf):
     return lines.page_limit(_t(spark, sf, "conversations"), "turn").select("conv_id", "turn")
 
@@ -233,7 +243,7 @@ def recognised(spark, sf):
     return recognition.recognize(d, {"tesseract": read_utf8, "trocr": read_utf8}, {"spell": spell}).drop("recognize_ms", "phase")
 
 
-QUERIES = (corrected_lines, corrected_texts, corrected_markup, pack_totals, segment_routes, refine_prompts, phase_labels, prompt_modes, model_routes, zipped_words, job_snapshots, job_clocks, result_json, plain_files, office_files, page_window, page_counts, directory_bytes, token_steps, capabilities, look_alikes, spelled, lexicon_words, stitched_bands, repeated_tail_drop, page_words, page_band_cuts, recognised)
+QUERIES = (corrected_lines, corrected_texts, corrected_markup, pack_totals, segment_routes, refine_prompts, phase_labels, prompt_modes, model_routes, zipped_words, job_snapshots, job_clocks, result_json, plain_files, office_files, exported, page_window, page_counts, directory_bytes, token_steps, capabilities, look_alikes, spelled, lexicon_words, stitched_bands, repeated_tail_drop, page_words, page_band_cuts, recognised)
 
 
 def oracle() -> dict[str, str]:
@@ -265,6 +275,7 @@ def oracle() -> dict[str, str]:
         "result_json": f"select conv_id, turn, to_json({{'text': text, 'engine': 'trocr', 'confidence': case when turn > 0 then round(length(text) / 4, 2) end, 'words': list_transform({words}, lambda w: {{'text': w, 'confidence': round(length(w) / 8, 2)}})}})::varchar json from conversations where text is not null",
         "plain_files": " union all ".join(f"select doc_id::varchar id, 'ocr-' || substr(doc_id::varchar, 1, 8) || '.{f}' file_name, '{exports.FORMATS[f]}' media_type, strlen(coalesce(text, '')) n_bytes, md5(coalesce(text, '')) md5 from documents" for f in ("txt", "md")),
         "office_files": f"select 'ocr-' || substr(conv_id::varchar, 1, 8) || '.docx' file_name, count(*) blocks, sum(n_lines - 1)::bigint parts from ({q.oracle_blocks()}) group by conv_id union all select 'ocr-' || substr(conv_id::varchar, 1, 8) || '.xlsx', count(*) filter ({q._n('line')} > 0) + 1, count(*) filter ({q._n('line')} > 0) from {q._CHAT_LINES} group by conv_id",
+        "exported": f"select conv_id::varchar job_id, f format, w which, s http_status, case when s = 200 then 'ocr-' || substr(conv_id::varchar, 1, 8) || '.' || f end file_name, case when s = 200 then case f when 'md' then '{exports.FORMATS['md']}' else '{exports.FORMATS['txt']}' end end media_type, case when s = 200 then md5(case when w = 'corrected' and conv_id % 3 = 0 then '= ' else '' end || text) end md5 from (select *, case when conv_id % 7 = 0 then 'rtf' when conv_id % 7 < 4 then 'md' else 'txt' end f, case when conv_id % 2 = 0 then 'corrected' else 'text' end w, case when conv_id % 7 = 0 then 400 when conv_id % 5 = 0 then 404 when conv_id % 4 = 0 then 409 else 200 end s from {q._CHAT})",
         "page_window": "select conv_id, turn from conversations where turn < 50",
         "page_counts": "select conv_id, count(*) pages from conversations group by conv_id",
         "directory_bytes": "select directory, sum(n)::bigint bytes, count(*) files from (select n, unnest(list_transform(range(len(p)), lambda k: array_to_string(p[1:k], '/'))) directory from (select string_split(concat_ws('/', source, lang, doc_id || '.txt'), '/') p, strlen(text) n from documents)) group by directory",

@@ -12,6 +12,10 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import select_text
+from ..operators.jobs import export_name, export_status
 
 #: Media types and extensions of the formats.
 FORMATS = {
@@ -222,3 +226,26 @@ def files(df: DataFrame, id_col: str, text_col: str, fmt: str, font: bytes | Non
             yield pd.DataFrame({"id": b["id"], "file_name": [f"ocr-{str(i)[:8]}.{fmt}" for i in b["id"]], "media_type": media, "content": [build(t, fmt, font) for t in b["text"]]})
 
     return df.selectExpr(f"cast(`{id_col}` as string) id", f"`{text_col}` text").mapInPandas(run, "id string, file_name string, media_type string, content binary")
+
+
+def export(asked: DataFrame, jobs: DataFrame, font: bytes | None = None) -> DataFrame:
+    """API6, SNK8: (job_id, format, which, http_status, file_name, media_type, content) for each request (job_id, format, which).
+
+    ``jobs`` has job_id, status, text and text_corrected. The first check that fails gives the status: format, job, state; such a request
+    has no file. Which text is written is PRJ2's rule. Catalyst picks the join by size; files are made row by row.
+    """
+    known = jobs.select("job_id", "status", "text", "text_corrected", F.lit(True).alias("known"))
+    found = asked.select("job_id", "format", "which").join(known, "job_id", "left")
+    status = export_status(F.col("format"), F.coalesce("known", F.lit(False)), F.col("status"))
+    picked = found.select(F.col("job_id").cast("string").alias("job_id"), "format", "which", status.alias("http_status"), select_text(F.col("which"), F.col("text"), F.col("text_corrected")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fine = (b["http_status"] == 200).tolist()
+            b["media_type"] = [FORMATS[f] if ok else None for f, ok in zip(b["format"], fine)]
+            b["content"] = [build(t, f, font) if ok else None for t, f, ok in zip(b["text"], b["format"], fine)]
+            yield b.drop(columns="text")
+
+    made = picked.mapInPandas(run, "job_id string, format string, which string, http_status int, media_type string, content binary")
+    name = F.when(F.col("http_status") == 200, export_name(F.col("job_id"), F.col("format")))
+    return made.select("job_id", "format", "which", "http_status", name.alias("file_name"), "media_type", "content")

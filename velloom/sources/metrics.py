@@ -8,18 +8,33 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-SCHEMA = "at double, cpu_percent double, ram_used_gb double, ram_total_gb double, ram_percent double, sent_bytes long, received_bytes long"
+SCHEMA = "at double, cpu_percent double, ram_used_gb double, ram_total_gb double, ram_percent double, sent_bytes long, received_bytes long, gpu struct<name:string,util_percent:int,mem_used_gb:double,mem_total_gb:double>"
+
+
+def gpu() -> tuple | None:
+    """The first GPU's name, load and memory, by the management library where it is installed; null without it or without a GPU."""
+    try:
+        import pynvml
+    except ImportError:
+        return None
+    try:
+        pynvml.nvmlInit()
+        one = pynvml.nvmlDeviceGetHandleByIndex(0)
+        name, memory = pynvml.nvmlDeviceGetName(one), pynvml.nvmlDeviceGetMemoryInfo(one)
+        return name.decode() if isinstance(name, bytes) else name, pynvml.nvmlDeviceGetUtilizationRates(one).gpu, round(memory.used / 1e9, 2), round(memory.total / 1e9, 2)
+    except pynvml.NVMLError:
+        return None
 
 
 def sample() -> tuple:
-    """One row of SCHEMA, of the machine that this runs on; all but the time null where psutil is missing."""
+    """One row of SCHEMA, of the machine that this runs on; all but the time and the GPU null where psutil is missing."""
     try:
         import psutil
     except ImportError:
-        return (time.time(), *[None] * 6)
+        return (time.time(), *[None] * 6, gpu())
     ram, net = psutil.virtual_memory(), psutil.net_io_counters()
     sent, received = (net.bytes_sent, net.bytes_recv) if net else (None, None)
-    return time.time(), psutil.cpu_percent(0.05), round(ram.used / 1e9, 2), round(ram.total / 1e9, 2), float(ram.percent), sent, received
+    return time.time(), round(psutil.cpu_percent(0.05), 1), round(ram.used / 1e9, 2), round(ram.total / 1e9, 2), float(ram.percent), sent, received, gpu()
 
 
 class _Batch(DataSourceReader):
@@ -67,3 +82,9 @@ class Metrics(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Metrics)
+
+
+def poll(spark: SparkSession, every: float = 1.0, hidden: bool = False):
+    """STR6: a writer of one sample every second, every other second while nobody looks; the caller names the sink and starts it."""
+    register(spark)
+    return spark.readStream.format("machine_metrics").load().writeStream.trigger(processingTime=f"{every * (2 if hidden else 1):g} seconds")
