@@ -87,7 +87,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     Null texts are one group of size 1 and CRC 0, apart from empty texts; repeated rows each get a slot; an empty table gives an
     empty result; other columns are ignored. A group beyond a shard's share makes its shard that large: groups are indivisible. The
-    rows of a group are numbered by salted parts, so a group of any share of the rows is spread over many tasks.
+    rows of a group are numbered by parts salted by row number, so a group of any share of the rows, of one id or none, is spread over many
+    tasks.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -97,10 +98,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     rows, total = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, -(-rows // ROWS)))))
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(64, -(-rows // ROWS)))))
     per_salt = salted.groupBy("key", "salt").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     groups = per_salt.groupBy("key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
     capacity = max(1, total // (shards * BLOCKS))
@@ -124,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     placed = local.join(where, ["bucket", "block"]).select("key", "shard", (F.col("base") + F.col("first")).alias("base"), F.col("n").alias("group_rows"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_salt.select("key", "salt", F.coalesce(before, F.lit(0)).alias("before")).join(placed, "key")
-    numbered = salted.withColumn("at", F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc_id")) - 1)
+    numbered = salted.withColumn("at", F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc_id", "row")) - 1)
     return numbered.join(starts, ["key", "salt"]).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("before") + F.col("at")).cast("long").alias("slot"), "group_rows")
 
 
