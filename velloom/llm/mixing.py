@@ -57,18 +57,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken, copies[(copy, words, position)].
 
     Size counts words. Sources rank by code point, null last; ``weight`` gives a rank's weight and ``shares`` the targets in words.
-    A source's documents stand in an order that only doc_id decides (then size and text), repeated ``cap`` times; the mix takes what
-    lies before the target. With ``cut`` the document on the border gives only the words before it, so each source meets its target
+    A source's documents stand in an order that a digest of doc_id and text decides, repeated ``cap`` times; the mix takes what lies
+    before the target. With ``cut`` the document on the border gives only the words before it, so each source meets its target
     to a word; without, a copy is taken whole if its middle lies before the border. A copy's training position in 0..1 is where the
     integral of its source's schedule reaches the words before it: cumulative demand, inverted.
 
     Null and empty texts have size 0 and nothing is taken of them (without ``cut`` an empty document is taken once if it stands
     before the border); repeated rows each have their own place; a null doc_id is kept; an empty table gives an empty result; other
-    columns are ignored. A source of any share is ordered in parts of about ROWS rows, whose totals alone meet.
+    columns are ignored. A source of any share is ordered in parts of about ROWS rows, whose totals alone meet;
+    rows without an id, or with one id, fall apart by their texts, and only rows equal in both meet in one part.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    kept = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), F.md5(F.concat(F.col(id_col).cast("string"), F.lit("order")).cast("binary")).alias("turn")))
+    kept = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit("order"), F.md5(text.cast("binary"))).cast("binary")).alias("turn")))
     totals = kept.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     rows = sum(r["n"] for r in totals)
@@ -130,7 +131,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 def oracle_sql() -> str:
     """The query in SQL. Sources ordered by the ratio of cap to weight fill up one after the other; the first that doesn't sets the unit."""
     curve = "case (rank % 3)::int " + " ".join(f"when {i} then {[dict(zip(('f0', 'f1', 't0', 'dt', 'w0', 'w1'), (1e300 if x == inf else x for x in p))) for p in demand(k)]}" for i, k in enumerate(SCHEDULES)) + " end"
-    return f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) size, md5(doc_id::varchar || 'order') turn from documents),
+    return f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) size, md5(concat_ws('|', doc_id::varchar, 'order', md5(text))) turn from documents),
     s as (select source, source_size, rank, rank % 3 + 1.0::double weight from (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by source)),
     o as (select *, {CAP} * source_size cap_, {CAP} * source_size / weight ratio, sum(source_size) over () total, sum(weight) over () weights, row_number() over (order by {CAP} * source_size / weight, rank) k from s),
     u as (select *, (total - coalesce(sum(cap_) over before, 0)) / (weights - coalesce(sum(weight) over before, 0)) unit from o window before as (order by k rows between unbounded preceding and 1 preceding)),
