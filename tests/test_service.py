@@ -315,3 +315,31 @@ def test_exclusive_models():
     assert out == ["A"] and set(cache.held) == {"b", "c"} and cache.load("b", lambda: 1 / 0) == "B"
     assert cache.load("a", lambda: "A2") == "A2" and out == ["A", "B"]
     cache.unload("zzz")
+
+
+def test_engines_around_models():
+    from velloom.plans.service import picture
+
+    page = picture(["ab    c", "ddd"])
+    seen = []
+
+    def read(crops):
+        seen.append(len(crops))
+        return [f" w{c.shape[1]} " if c.shape[1] > 40 else "  " for c in crops]
+
+    got = recognition.by_words(read, lambda p: np.where(images.gray(p) < 128, 255, 0), 2)(images.encode_png(page), "ru")
+    assert seen == [2, 1] and got["text"].count("\n") <= 1 and got["confidence"] is None and all(w["text"].startswith("w") for w in got["words"])
+    tall = np.full((1800, 60), 255, np.uint8)
+    for y in range(100, 1700, 200):
+        tall[y : y + 60, 10:50] = 0
+    asked = []
+
+    def model(band, prompt, budget):
+        asked.append((band.shape[0], prompt, budget))
+        return f"<p>строка номер {len(asked)}</p>"
+
+    got = recognition.by_bands(model, prompt="read")(images.encode_png(tall), "ru")
+    assert len(asked) == 3 and {a[1:] for a in asked} == {("read", 1536)} and sum(a[0] for a in asked) > 1800 and "<" not in got["text"]
+    asked.clear()
+    short = recognition.by_bands(model, refine=lambda t: f"again {t}")(images.encode_png(tall[:400]), "ru")
+    assert [a[1:] for a in asked] == [(None, 2048), ("again строка номер 1", 2048)] and short["text"] == "строка номер 1"

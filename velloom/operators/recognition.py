@@ -6,13 +6,17 @@ import time
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routing import engine_of
+from ..functions.similarity import html_to_text, prefer_refined, stitch
 from ..functions.text import word_count
+from .images import decode_png, gray, row_ink, valleys, word_crops
 from .jobs import elapsed_ms, upload_status
+from .series import page_bands
 
 #: An engine: a loader, called once a worker, whose result turns an image's bytes and a language into text, confidence and words.
 Engine = Callable[[], Callable[[bytes, str], dict[str, Any]]]
@@ -51,6 +55,46 @@ def one_page(content_type: str, content: bytes) -> list[bytes]:
     return [content]
 
 
+def by_words(read: Callable[[list[np.ndarray]], list[str]], ink: Callable[[np.ndarray], np.ndarray], batch: int = 8) -> Callable[[bytes, str], dict[str, Any]]:
+    """MDL2: an engine around a model that reads pictures of words, ``batch`` at a time. ``ink`` makes writing 255 and paper 0.
+
+    Words of a line are joined by spaces, lines by newlines; blank words and lines without any are left out; there is no confidence.
+    """
+
+    def run(content: bytes, lang: str) -> dict[str, Any]:
+        page = decode_png(content)
+        crops = word_crops(page, ink(page))
+        found: list[str] = []
+        for i in range(0, len(crops), batch):
+            found += read([c for _, c in crops[i : i + batch]])
+        words = [(line, w.strip()) for (line, _), w in zip(crops, found) if w.strip()]
+        by_line: dict[int, list[str]] = {}
+        for line, w in words:
+            by_line.setdefault(line, []).append(w)
+        return {"text": "\n".join(" ".join(x) for x in by_line.values()), "confidence": None, "words": [{"text": w, "confidence": None} for _, w in words]}
+
+    return run
+
+
+def by_bands(read: Callable[[np.ndarray, str | None, int], str], strips: int = 3, prompt: str | None = None, refine: Callable[[str], str] | None = None) -> Callable[[bytes, str], dict[str, Any]]:
+    """MDL3: an engine around a model that reads a picture with a prompt and a budget of tokens, and answers in markup.
+
+    A tall page is read in overlapping bands cut between its lines; the bands' texts are stitched. ``refine`` makes the prompt of a
+    second look at the whole page from the text; its answer counts as far as FLT6 lets it.
+    """
+
+    def run(content: bytes, lang: str) -> dict[str, Any]:
+        page = decode_png(content)
+        bands = page_bands(page.shape[0], valleys(row_ink(gray(page))), max(1, strips))
+        budget = 1536 if len(bands) > 1 else 2048
+        text = stitch([html_to_text(read(page[a:b], prompt, budget)) for a, b in bands])
+        if refine and text.strip():
+            text = prefer_refined(text, html_to_text(read(page, refine(text), 2048))) or ""
+        return {"text": text, "confidence": None, "words": []}
+
+    return run
+
+
 def pages_of(uploads: DataFrame, name: str, engine: Engine, opener: Opener = one_page, most: int = 50) -> DataFrame:
     """SRC3, ORD3: (PAGE) for each of the first ``most`` pages of each upload (job_id, content_type, content, lang), by one engine.
 
