@@ -211,8 +211,8 @@ class Table:
 
 
 def measures(texts: Iterable[bytes], table: Table, rank: np.ndarray) -> np.ndarray:
-    """f0..f3 of each text: its log-likelihood ratio a character, the ratio a word over the highest tenth of its words and over the
-    highest thirtieth (one word at least), and the logarithm of words + 1. A text without words has zeros."""
+    """f0..f2 of each text: its log-likelihood ratio a character, the ratio a word over the highest thirtieth of its words (one at
+    least), and the logarithm of words + 1. A text without words has zeros."""
     words: list[list[np.ndarray]] = []
     length: list[int] = []
     held: list[tuple[int, str]] = []
@@ -238,13 +238,12 @@ def measures(texts: Iterable[bytes], table: Table, rank: np.ndarray) -> np.ndarr
                 held, size = [], 0
     if held:
         done()
-    out = np.zeros((len(words), 4))
+    out = np.zeros((len(words), 3))
     for i, of in enumerate(words):
         if of:
             word = of[0] if len(of) == 1 else np.concatenate(of)
-            a, b = max(1, len(word) // 10), max(1, len(word) // 30)
-            high = np.partition(word, (-a, -b))
-            out[i] = word.sum() / length[i], high[-a:].mean(), high[-b:].mean(), np.log1p(len(word))
+            top = max(1, len(word) // 30)
+            out[i] = word.sum() / length[i], np.partition(word, -top)[-top:].mean(), np.log1p(len(word))
     return out
 
 
@@ -273,6 +272,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[float]:
     return [*mean, *std, *b]
 
 
+def rising(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> list[float]:
+    """``logistic`` in which a higher ratio, of the text or of its highest words, never lowers the probability: a ratio whose
+    coefficient would be negative is left out, the most negative first."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, used], y, weights)
+        n = len(used)
+        low = min((k for k in range(n) if used[k] < x.shape[1] - 1), key=lambda k: w[2 * n + 1 + k], default=None)
+        if low is None or w[2 * n + 1 + low] >= 0:
+            break
+        del used[low]
+    out = np.array([0.0] * x.shape[1] + [1.0] * x.shape[1] + [w[2 * n]] + [0.0] * x.shape[1])
+    for k, i in enumerate(used):
+        out[[i, x.shape[1] + i, 2 * x.shape[1] + 1 + i]] = w[k], w[n + k], w[2 * n + 1 + k]
+    return out.tolist()
+
+
 def probability(x: np.ndarray, weights: list[float]) -> np.ndarray:
     k = x.shape[1]
     z = (x - np.array(weights[:k])) / np.array(weights[k : 2 * k])
@@ -365,18 +381,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Learnt(None, None)
     weighed = counted.select("y", "gram", (F.col("n") * F.when(F.col("y") == 0, min(sums.values()) / sums[0]).otherwise(min(sums.values()) / sums[1])).alias("n"))
     table = Table(*class_ratios(weighed, saved(corpus_grams(docs, text_col))))
-    fit = measured(texts.where("pmod(h, 4) = 0").select("y", "text"), "text", table).toPandas().sort_values(["c0", "f0", "f1", "f2", "f3"])
+    fit = measured(texts.where("pmod(h, 4) = 0").select("y", "text"), "text", table).toPandas().sort_values(["c0", "f0", "f1", "f2"])
     weights = None
     if fit["c0"].nunique() == 2:
-        weights = logistic(fit[["f0", "f1", "f2", "f3"]].to_numpy(), fit["c0"].to_numpy(), np.array([number[y] / (fit["c0"] == y).sum() for y in (0, 1)]))
+        weights = rising(fit[["f0", "f1", "f2"]].to_numpy(), fit["c0"].to_numpy(), np.array([number[y] / (fit["c0"] == y).sum() for y in (0, 1)]))
     return Learnt(table, weights)
 
 
 def measured(rows: DataFrame, text_col: str, table: Table) -> DataFrame:
-    """The columns of ``rows`` as c0, c1, ... and f0..f3 of each whole text. Row by row: nothing is shuffled."""
+    """The columns of ``rows`` as c0, c1, ... and f0..f2 of each whole text. Row by row: nothing is shuffled."""
     inner = [f"c{i}" for i in range(len(rows.columns))]
     plain, where = rows.toDF(*inner), rows.columns.index(text_col)
-    names = [*inner, "f0", "f1", "f2", "f3"]
+    names = [*inner, "f0", "f1", "f2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = table.rank()
@@ -384,7 +400,7 @@ def measured(rows: DataFrame, text_col: str, table: Table) -> DataFrame:
             x = measures(utf8(batch.column(where)), table, rank)
             yield pa.record_batch([*batch.columns, *(pa.array(c) for c in np.ascontiguousarray(x.T))], names=names)
 
-    added = [StructField(n, DoubleType()) for n in names[-4:]]
+    added = [StructField(n, DoubleType()) for n in names[-3:]]
     return plain.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in plain.schema.fields] + added))
 
 
