@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 
 
 def box_mean(df: DataFrame, keys: list[str], at: str, value: str, size: int) -> DataFrame:
-    """WIN4: the mean over a box of ``size``, as if zeros lay beyond the ends."""
+    """WIN4: the mean over a box of ``size`` in column ``smooth``, as if zeros lay beyond the ends. Nulls count as zeros; ``at`` must tell a
+    key's rows apart. One row comes out for each that went in, also where there are fewer than ``size``; ``smooth`` of an array gives
+    ``size`` values then."""
     half = size // 2
     w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-half, half)
     return df.withColumn("smooth", F.sum(value).over(w) / size)
 
 
 def local_minima(df: DataFrame, keys: list[str], at: str, value: str, share: float = 0.32) -> DataFrame:
-    """WIN5: inner rows no higher than their neighbours and at most ``share`` of the peak."""
+    """WIN5: inner rows no higher than their neighbours and at most ``share`` of the peak. Null values are none, and no neighbours."""
     w = Window.partitionBy(*keys).orderBy(at)
     low = (F.col(value) <= F.lag(value).over(w)) & (F.col(value) <= F.lead(value).over(w)) & (F.col(value) <= share * F.max(value).over(Window.partitionBy(*keys)))
-    return df.withColumn("low", low).where("low").drop("low")
+    return df.withColumn("_low", low).where("_low").drop("_low")
 
 
 def sessions(df: DataFrame, keys: list[str], at: str, value: str, gap: int = 12) -> DataFrame:
