@@ -22,7 +22,7 @@ ORDER, DISCOUNT, CORPUS_PRIOR, CLASS_PRIOR = 5, 0.75, 1e-3, 1.0
 #: Labelled texts of each class that are learnt from at most (those with the least hash of doc_id), and their bytes in all.
 LABELLED, LABELLED_BYTES = 8000, 32_000_000
 #: Characters taken in one go; different n-grams that a task holds before it hands them on.
-PIECE, HELD = 2_000_000, 400_000
+PIECE, HELD = 500_000, 300_000
 #: Words, in pieces of 40 characters where they are longer.
 WORD, GAP = re.compile(r"\w{1,40}"), re.compile(r"\W")
 #: Characters that stand before a text.
