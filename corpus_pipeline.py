@@ -13,6 +13,18 @@ from velloom.llm.simhash import near_duplicates
 from velloom.llm.toxicity import learn, score
 
 
+#: Rows of an Arrow batch where whole rows travel, some with very long texts.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH rows at most, to bound what an executor holds beside its heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns c0, c1, ..., so that no name can clash with a stage's own, and the new name of each column."""
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -31,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged as texts without words; repeated rows are judged alike; null and repeated ids stay; an empty table
     gives an empty one; other columns pass through, whatever their names.
     """
+    small_batches(spark)
     plain, at = inner(docs)
     model = learn(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"), at["doc_id"], at["text"])
     scored = score(plain, model, at["doc_id"], at["text"], keep=plain.columns)
@@ -43,6 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by number, so null and repeated ids with different texts all stay, and wholly equal rows become one. Null and
     empty texts form one group; an empty table gives an empty one; other columns pass through, whatever their names.
     """
+    small_batches(spark)
     rows, at = numbered(docs)
     id_ = F.col(at["doc_id"])
     named = rows.select(F.struct(id_.isNull().alias("none"), id_.alias("doc_id"), "row").alias("doc_id"), F.col(at["text"]).alias("text"))
@@ -52,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms in place of personal data. Row by row: null texts stay null, all else passes through."""
+    small_batches(spark)
     return pseudonyms(docs, KEY, spans_col=None)
 
 
@@ -61,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own; texts without words cost nothing and come once if they stand before their source's border;
     repeated rows and ids each have their own place; an empty table gives an empty one; other columns pass through, whatever their names.
     """
+    small_batches(spark)
     rows, at = numbered(docs)
     id_ = F.struct(F.col(at["doc_id"]).alias("doc_id"), "row").alias("doc_id")
     mixed = mix(rows.select(id_, F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source")), cut=False)
@@ -71,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows of 4096 tokens; a null or empty text is its end token alone, copies are packed each on their own."""
+    small_batches(spark)
     return pack(docs)
 
 
