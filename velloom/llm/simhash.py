@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, by_batch, components, saved, utf8
+from .shared import Forest, by_batch, components, parts, saved, utf8
 
 WORDS, SEED, BITS = 4, 42, 64
 #: Rows of a tile: a 32nd of the fingerprints, between these bounds.
 TILE_LEAST, TILE_MOST = 4096, 65_536
 RUN = 256
+#: Tile pairs of a task, counted from both sides.
+PAIRS = 16
 
 
 def fingerprint(data: bytes) -> int:
@@ -148,7 +150,9 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         node, root = link_tiles(sides[lo], None if lo == hi else sides[hi], radius)
         return pd.DataFrame({"a": node.view(np.int64), "b": root.view(np.int64)})
 
-    pairs = tiles.mapInPandas(pair, "lo long, hi long, tile long, fps array<long>")
+    # a pair's cost is its comparisons, not its bytes, so the number of tasks follows the pairs
+    number = sum(len(_partners(boxes, i, radius)) for i in range(len(boxes)))
+    pairs = tiles.mapInPandas(pair, "lo long, hi long, tile long, fps array<long>").repartition(parts(spark, number, PAIRS), "lo", "hi")
     return pairs.groupBy("lo", "hi").applyInPandas(compare, "a long, b long")
 
 
