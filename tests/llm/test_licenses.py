@@ -99,3 +99,16 @@ def test_query(spark, table):
     assert len(got) == 340 and got[70].license == "GPL-3.0"
     assert {r.from_dir for r in got.values() if r.origin == "inherited"} <= {"s0", "s0/en", "s0/en/0"} and sum(r.origin == "inherited" for r in got.values()) > 200
     assert licenses.op2_licenses(spark, table([], DDL)).collect() == []
+
+
+def test_query_against_its_sql(spark, table):
+    import duckdb
+
+    texts = [MIT, GPL, "x\n\ny", f"a b\n# {MIT_BODY.split(chr(10))[0]}\n# {MIT_BODY.split(chr(10))[1]}\n\nend", None, "", "plain words\nof no license\n\nmore", "SPDX-License-Identifier: ISC", "licence of it's own"]
+    rows = [(i * 37, texts[i % len(texts)], "p", "en" if i % 2 else "de", f"s{i % 3}", "l", "k", 1, "d") for i in range(400)]
+    d = table(rows, DDL)
+    got = licenses.op2_licenses(spark, d)
+    db = duckdb.connect()
+    db.sql(f"create view documents as from '{d}/documents.parquet/*.parquet'")
+    want = db.sql(licenses.oracle_sql())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.select(*got.columns).fetchall(), key=str)

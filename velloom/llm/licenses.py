@@ -259,7 +259,7 @@ def tree(docs: DataFrame) -> DataFrame:
     one of its group; so files inherit over several levels, and the directories of a large source hold as large a share of all files.
     """
     id_ = F.col("doc_id").cast("string")
-    level = F.when(F.coalesce(F.col("text").rlike(NAMED), F.lit(False)), F.crc32(id_.cast("binary")) % 8)
+    level = F.when(F.coalesce(F.col("text").rlike(NAMED), F.lit(False)), F.conv(F.substring(F.md5(id_.cast("binary")), 1, 1), 16, 10).cast("int") % 8)
     group = F.floor(F.col("doc_id") / 4096).cast("string")
     file = F.when(level < 3, F.concat(F.lit("LICENSE-"), id_)).otherwise(F.concat(id_, F.lit(".txt")))
     folders = F.when(level == 0, F.concat_ws("/", "source")).when(level == 1, F.concat_ws("/", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang", group))
@@ -269,3 +269,34 @@ def tree(docs: DataFrame) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the license of every document, its own or inherited in the tree of documents."""
     return scan(tree(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def oracle_sql() -> str:
+    """The query in SQL: every passage's terms joined with every template's."""
+    quoted = lambda x: "'" + " ".join(x.split()).replace("'", "''") + "'"
+    values = ", ".join(f"({i}, '{name}', {quoted(x)})" for i, (name, x) in enumerate((n, x) for n, some in TEMPLATES.items() for x in some))
+    term = r"'[\p{L}\p{N}]+'"
+    return rf"""with tpl(id, license, line) as (values {values}),
+    tt as (select id, license, term, count(*) m from (select id, license, unnest(regexp_extract_all(lower(line), {term})) term from tpl) group by all),
+    f as (select row_number() over () rid, doc_id, coalesce(text, '') text, case when regexp_matches(coalesce(text, ''), '{NAMED}') then (instr('0123456789abcdef', substr(md5(doc_id::varchar), 1, 1)) - 1) % 8 end level, source, lang from documents),
+    p as (select *, concat_ws('/', case when level = 0 then source when level = 1 then concat_ws('/', source, lang) else concat_ws('/', source, lang, (doc_id // 4096)::varchar) end, case when level < 3 then 'LICENSE-' || doc_id else doc_id || '.txt' end) path from f),
+    file as (select *, regexp_replace(path, '/?[^/]*$', '') dir, coalesce(level < 3, false) is_license from p),
+    lines as (select rid, unnest(range(len(l))) k, unnest(l) line from (select rid, regexp_split_to_array(text, '\r\n|[\n\x{{0B}}\x{{0C}}\r\x{{85}}\x{{2028}}\x{{2029}}]') l from file)),
+    kept as (select *, k - row_number() over (partition by rid order by k) block from (select rid, k, regexp_extract_all(lower(line), {term}) terms from lines) where len(terms) > 0),
+    tok as (select rid, k, block, unnest(terms) term from kept),
+    df as (select term, count(distinct rid) n from tok group by term),
+    vocab as (select term, ln((1 + (select count(*) from file)) / (1 + coalesce(n, 0))) + 1 idf from (select distinct term from tt) left join df using (term)),
+    other as (select median(idf) o from vocab),
+    blocks as (select rid, block, count(distinct k) n from kept group by all),
+    passage as (select rid, 'l' || k pid, term, count(*) n from tok group by all
+        union all select rid, 'b' || block, term, count(*) from tok join blocks using (rid, block) where blocks.n > 1 group by all
+        union all select rid, 'w', term, count(*) from tok join file using (rid) where is_license and (select count(*) from blocks where blocks.rid = tok.rid) > 1 group by all),
+    norms as (select rid, pid, sqrt(sum(case when idf is null then n * n * (select o * o from other) else n * n * idf * idf end)) w from passage left join vocab using (term) group by all),
+    tnorm as (select id, sqrt(sum(m * m * idf * idf)) v from tt join vocab using (term) group by id),
+    dots as (select rid, pid, id, license, sum(n * m * idf * idf) d from passage join tt using (term) join vocab using (term) group by all),
+    best as (select rid, pid, arg_min(license, {{'c': -c, 'l': license}}) license, max(c) c from (select rid, pid, license, round(d / v / w, 9) c from dots join norms using (rid, pid) join tnorm using (id)) where c >= {LEAST} group by all),
+    own as (select rid, arg_min(license, {{'c': -c, 'l': license}}) license, max(c) c, count(*) n from best group by rid),
+    holders as (select dir from_dir, arg_min(own.license, {{'c': -c, 'p': path}}) given from file join own using (rid) where is_license group by dir),
+    nearest as (select dir, arg_max(from_dir, length(from_dir)) from_dir, arg_max(given, length(from_dir)) given from (select dir, unnest(list_transform(range(len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) from_dir from (select distinct dir from file)) join holders using (from_dir) group by dir)
+    select doc_id, path, coalesce(own.license, given) license, case when own.license is not null then 'own' when given is not null then 'inherited' else 'none' end origin, case when own.license is null then from_dir end from_dir, own.c cosine, coalesce(own.n, 0) n_statements
+    from file left join own using (rid) left join nearest using (dir)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing
+from . import embeddings, licenses, mixing
 from .audio import op8_audio
 from .embeddings import op6_embeddings
 from .licenses import op2_licenses
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embeddings": embeddings.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
+    return {"op2_licenses": licenses.oracle_sql(), "op6_embeddings": embeddings.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
