@@ -51,17 +51,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near-duplicates, that with the smallest doc_id (null last), of several such the first.
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id (null last), of several texts with it that of the
+    least digest, of rows equal in both any one.
 
-    Rows are told apart by number, so null and repeated ids with different texts all stay, and wholly equal rows become one. Null and
-    empty texts form one group; an empty table gives an empty one; other columns pass through, whatever their names.
+    Rows are told apart by doc_id and text, so null and repeated ids with different texts all stay. Null and empty texts form one
+    group; an empty table gives an empty one; other columns pass through, whatever their names.
     """
     small_batches(spark)
-    rows, at = numbered(docs)
-    id_ = F.col(at["doc_id"])
-    named = rows.select(F.struct(id_.isNull().alias("none"), id_.alias("doc_id"), "row").alias("doc_id"), F.col(at["text"]).alias("text"))
-    stay = near_duplicates(named).where("doc_id = component_id").select("doc_id.row")
-    return rows.join(stay, "row", "left_semi").select(*at.values()).toDF(*docs.columns)
+    plain, at = inner(docs)
+    id_, text = F.col(at["doc_id"]), F.col(at["text"])
+    mark = F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("+"), id_.cast("string")), F.lit("-")), F.md5(text.cast("binary"))).cast("binary"))
+    named = plain.select(F.struct(id_.isNull().alias("none"), id_.alias("doc_id"), mark.alias("mark")).alias("doc_id"), text.alias("text"))
+    stay = near_duplicates(named).where("doc_id = component_id").select("doc_id.mark")
+    return plain.withColumn("mark", mark).join(stay, "mark", "left_semi").dropDuplicates(["mark"]).select(*at.values()).toDF(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
