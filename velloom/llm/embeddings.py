@@ -239,6 +239,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
 
     degree = pairs.groupBy("root", "lo", "hi").applyInPandas(degrees, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = label.join(one.select("key", "first"), label.node == one.key).groupBy("root").agg(F.min("first").alias("component_id"))
+    top = saved(top)  # so that a join with a large component can be split
     counts = one.select("key", "copies", "first")
     whole = counts.join(label, counts.key == label.node, "left").join(top, "root", "left").join(degree, "key", "left")
     whole = saved(whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")))

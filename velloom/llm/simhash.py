@@ -41,7 +41,10 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, as a signed 64-bit integer. A struct may stand for an id, else it is a long."""
+    """(doc_id, fp): the fingerprint of each whole text, as a signed 64-bit integer. A struct may stand for an id, else it is a long.
+
+    One row for each row; null and empty texts have fingerprint 0, null ids are kept, an empty table gives an empty result.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(x) for x in utf8(batch.column(1))), np.uint64, batch.num_rows)
@@ -120,7 +123,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     Each tile holds fingerprints of one population count and, as far as needed, of a range of counts in the first two quarters.
     Each pair of tiles whose counts are no further apart than the radius is one task of bounded size; it returns a spanning forest
     of its links, so a dense group of n fingerprints gives at most n rows a task and never its pairs. The cost is quadratic in the
-    number of distinct fingerprints, less what the counts let skip.
+    number of distinct fingerprints, less what the counts let skip. ``fps`` holds no nulls and no repeats; an empty one gives no links.
     """
     spark = fps.sparkSession
     pop = lambda c: F.bit_count(c).cast("int")
@@ -168,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(near_links(nodes.select("fp"), radius))
     rooted = nodes.join(label, nodes.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    top = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # so that a join with a large component can be split
     known = saved(rooted.select("fp", "root").join(top, "root").select("fp", "component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
