@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import saved, utf8
 from .sharding import best_fit
-from .tokenizing import encoder, vocabulary
+from .tokenizing import MEMO, encoder, vocabulary
 
 WINDOW, OPEN, END = 4096, 32, 2
 #: Partitions whose leftover windows are merged together; ids in one go of the encoder, in bytes of text.
@@ -58,13 +58,13 @@ def _rows(pieces: list[tuple], keep_ids: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, open_windows: int = OPEN, end_id: int = END, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, open_windows: int = OPEN, end_id: int = END, path: str | None = None, memo: int = MEMO) -> DataFrame:
     """Pieces of ``docs`` in sequences of at most ``window`` ids: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its ids and ``end_id``; whole windows are cut off its front and the rest stays in one piece. Each partition keeps
     ``open_windows`` windows open and puts a piece where the least room is left; when no window has room it emits the fullest. What
     is left open at a partition's end is packed again, largest piece first, together with FAN_IN - 1 other partitions' leftovers, so
-    a task's memory depends on these parameters alone.
+    a task's memory depends on these parameters alone. ``memo`` is how many words a worker remembers the ids of: it saves time only.
 
     A null text is an empty one: its only id is ``end_id``. Repeated rows are packed each on their own; a null doc_id is kept; an
     empty table gives an empty result; other columns are ignored.
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        packer, code, end = Packer(part << 32, window, open_windows), encoder(path, True), end_id.to_bytes(4, "little")
+        packer, code, end = Packer(part << 32, window, open_windows), encoder(path, True, memo), end_id.to_bytes(4, "little")
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             at = 0

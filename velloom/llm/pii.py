@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .shared import giving_back
+
 ROUNDS = 10
 FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -241,7 +243,7 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: s
             yield pa.record_batch([*columns, pa.array([s for _, s in done], kinds)], names=[*inner, "spans"])
 
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("stop", LongType())])
-    found = plain.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in plain.schema.fields), StructField("spans", ArrayType(span))]))
+    found = plain.mapInArrow(giving_back(run), StructType([*(StructField(f.name, f.dataType) for f in plain.schema.fields), StructField("spans", ArrayType(span))]))
     while spans_col in names:
         spans_col += "_"
     return found.toDF(*names, spans_col) if spans_col else found.drop("spans").toDF(*names)

@@ -38,16 +38,16 @@ class Encoder:
     ``words``: the tokenizer drops white space before it merges, so texts fall into words at ASCII white space; otherwise
     (byte-level merges) they are cut where ASCII white space follows another character. No token of either kind crosses such a place,
     so the ids of a text are those of its stretches in turn. A word that ends in a letter and then ASCII punctuation is those two
-    in turn as well, as no token holds a letter and punctuation. The first MEMO stretches are remembered: frequent ones come
+    in turn as well, as no token holds a letter and punctuation. The first ``most`` stretches are remembered: frequent ones come
     early, so that later ones are rare.
     """
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = words
+        self.words, self.most = words, most
         self.memo: _Memo = _Memo()
         plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark = plain[0] if plain else None
@@ -67,7 +67,7 @@ class Encoder:
         odd, new = [s for s in new if sign in s], [s for s in new if sign not in s]
         for some in [[s] for s in odd] + [new[i : i + GO] for i in range(0, len(new), GO)]:
             for s, ids in zip(some, self._encoded([s.decode() for s in some] if self.words else some)):
-                (self.memo if len(self.memo) < MEMO and len(s) <= LONGEST else self.memo.rare)[s] = ids
+                (self.memo if len(self.memo) < self.most and len(s) <= LONGEST else self.memo.rare)[s] = ids
 
     def _look_up(self, stretches: list) -> None:
         """Makes the memo, or ``rare``, hold each of the distinct stretches."""
@@ -83,7 +83,7 @@ class Encoder:
             new = [x for x in apart if x not in memo]
         self._learn(new)
         for w, (stem, tail) in tails.items():
-            (memo if len(memo) < MEMO and len(w) <= LONGEST else memo.rare)[w] = memo[stem] + memo[tail]
+            (memo if len(memo) < self.most and len(w) <= LONGEST else memo.rare)[w] = memo[stem] + memo[tail]
 
     def ids(self, texts: Sequence[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
@@ -112,9 +112,9 @@ class Encoder:
         return found
 
 
-def encoder(path: str, words: bool) -> Encoder:
-    """This worker's encoder for the file."""
-    return kept_by_worker(("tokens", path, words), lambda: Encoder(path, words))
+def encoder(path: str, words: bool, most: int = MEMO) -> Encoder:
+    """This worker's encoder for the file, which remembers ``most`` stretches."""
+    return kept_by_worker(("tokens", path, words, most), lambda: Encoder(path, words, most))
 
 
 def vocabulary(name: str) -> str:

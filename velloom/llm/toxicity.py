@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .shared import saved, utf8
+from .shared import giving_back, saved, utf8
 
 #: Characters of an n-gram; discount of counts; weight of the order below in every context, in counts (corpus, classes).
 ORDER, DISCOUNT, CORPUS_PRIOR, CLASS_PRIOR = 5, 0.75, 1e-3, 1.0
@@ -116,7 +116,7 @@ def corpus_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield done()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram string").distinct()
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(giving_back(run), "gram string").distinct()
 
 
 def orders(grams: DataFrame) -> list[DataFrame]:
@@ -373,7 +373,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for y, c in part.items():
             yield pa.record_batch([pa.array([y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["y", "gram", "n"])
 
-    counts = texts.where("pmod(h, 4) > 0").select("y", "text").mapInArrow(count, "y int, gram string, n long")
+    counts = texts.where("pmod(h, 4) > 0").select("y", "text").mapInArrow(giving_back(count), "y int, gram string, n long")
     counted = saved(counts.groupBy("y", "gram").agg(F.sum("n").alias("n")))
     # both classes weigh alike: equal totals, so that what neither has seen often says nothing
     sums = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.sum("n").alias("n")).collect()}
@@ -401,7 +401,7 @@ def measured(rows: DataFrame, text_col: str, table: Table) -> DataFrame:
             yield pa.record_batch([*batch.columns, *(pa.array(c) for c in np.ascontiguousarray(x.T))], names=names)
 
     added = [StructField(n, DoubleType()) for n in names[-3:]]
-    return plain.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in plain.schema.fields] + added))
+    return plain.mapInArrow(giving_back(run), StructType([StructField(f.name, f.dataType) for f in plain.schema.fields] + added))
 
 
 def score(docs: DataFrame, model: Learnt, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
