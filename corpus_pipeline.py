@@ -13,6 +13,8 @@ from velloom.llm.simhash import near_duplicates
 from velloom.llm.toxicity import learn, score
 
 
+#: Words that a worker remembers in packing, beside what the stages before have left in the executors' heaps.
+MEMO = 200_000
 #: Rows of an Arrow batch where whole rows travel, some with very long texts.
 BATCH = 2000
 
@@ -90,7 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows of 4096 tokens; a null or empty text is its end token alone, copies are packed each on their own."""
     small_batches(spark)
-    return pack(docs)
+    return pack(docs, memo=MEMO)
 
 
 STAGES = [
