@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .shared import parts, saved, utf8, work_dir
-from .tokenizing import encoder, vocabulary
+from .shared import giving_back, parts, saved, utf8, work_dir
+from .tokenizing import counter, vocabulary
 from .tokenizing import version as version_of
 
 #: Bytes that are encoded in one go; rows of a partition that is encoded.
-AT_ONCE, PER_PART = 4_000_000, 20_000
+AT_ONCE, PER_PART = 1_000_000, 20_000
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -62,6 +62,8 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     The content (null as empty; nothing else may be normalised without changing counts) is known by its SHA-256, the tokenizer by the
     digest of its file and library version. Contents that the cache lacks meet by digest, after each task has dropped repeats
     of its own, and the sorted ones of a partition are each encoded once. The cache holds one row for a digest and version as long as writers take turns.
+    A worker remembers counts within a fixed number of bytes and gives freed memory back after each task, as Spark keeps more workers
+    than run at a time.
 
     Null and empty texts count 0; repeated rows are counted alike; a null doc_id is kept; an empty table gives an empty result;
     other columns are ignored.
@@ -75,21 +77,21 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     known = stored(spark, cache, version)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, False)
+        code = counter(path)
         for batch in _runs(batches):
             counts, some, n, texts = [], [], 0, utf8(batch.column(1))
             for i, x in enumerate(texts, 1):
                 some.append(x)
                 n += len(x)
                 if n > AT_ONCE or i == batch.num_rows:
-                    counts += [len(ids) // 4 for ids in code.ids(some)]
+                    counts += code.counts(some)
                     some, n = [], 0
             yield pa.record_batch([batch.column(0), pa.array([version] * batch.num_rows), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
-    contents = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(_distinct, "digest binary, text string")
+    contents = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(giving_back(_distinct), "digest binary, text string")
     if known is not None:
         contents = contents.join(known.select("digest"), "digest", "left_anti")
-    missed = contents.repartition(parts(spark, keyed.count(), PER_PART), "digest").sortWithinPartitions("digest").mapInArrow(encode, CACHE)
+    missed = contents.repartition(parts(spark, keyed.count(), PER_PART), "digest").sortWithinPartitions("digest").mapInArrow(giving_back(encode), CACHE)
     missed.write.mode("append").parquet(cache)
     return keyed.join(stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
 

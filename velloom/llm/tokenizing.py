@@ -6,7 +6,8 @@ import hashlib
 import os
 import re
 import string
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .shared import kept_by_worker
 
 #: Stretches that a worker remembers, and the longest one it remembers, in characters.
 MEMO, LONGEST = 1_000_000, 64
+#: Bytes that a worker may fill with stretches and their counts, and what one takes beside its characters.
+ROOM, ENTRY = 64_000_000, 64
 #: A byte-level pre-token never runs from a character that isn't white space into ASCII white space.
 BREAK = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 #: ASCII punctuation, and strings in one go of the library.
@@ -61,13 +64,17 @@ class Encoder:
         flat, ends = ids.tobytes(), (4 * np.flatnonzero(ids == number)).tolist()
         return [flat[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(flat)])]
 
-    def _learn(self, new: list) -> None:
-        """Puts the ids of stretches into the memo, or into what it holds for this call only."""
+    def _fresh(self, new: list) -> Iterator[tuple]:
+        """The stretches, each with its ids."""
         sign = b"<|" if self.words else "<|"  # a special token may be inside: the cut would be ambiguous
         odd, new = [s for s in new if sign in s], [s for s in new if sign not in s]
         for some in [[s] for s in odd] + [new[i : i + GO] for i in range(0, len(new), GO)]:
-            for s, ids in zip(some, self._encoded([s.decode() for s in some] if self.words else some)):
-                (self.memo if len(self.memo) < self.most and len(s) <= LONGEST else self.memo.rare)[s] = ids
+            yield from zip(some, self._encoded([s.decode() for s in some] if self.words else some))
+
+    def _learn(self, new: list) -> None:
+        """Puts the ids of stretches into the memo, or into what it holds for this call only."""
+        for s, ids in self._fresh(new):
+            (self.memo if len(self.memo) < self.most and len(s) <= LONGEST else self.memo.rare)[s] = ids
 
     def _look_up(self, stretches: list) -> None:
         """Makes the memo, or ``rare``, hold each of the distinct stretches."""
@@ -112,11 +119,43 @@ class Encoder:
         return found
 
 
+class Counter(Encoder):
+    """Numbers of ids by a byte-level tokenizer.
+
+    Of a stretch it remembers the count alone, and as many stretches as fit into ``room`` bytes: their number says little, as they
+    are long in scripts without spaces. Later ones are encoded whenever they come, so ``room`` changes no count.
+    """
+
+    def __init__(self, path: str, room: int = ROOM):
+        super().__init__(path, False)
+        self.room = room
+
+    def counts(self, texts: Sequence[bytes]) -> list[int]:
+        """The number of ids of each text."""
+        memo = self.memo
+        cut = [BREAK.split(t.decode()) for t in texts]
+        for s, ids in self._fresh([s for s in set().union(*cut) if s not in memo]):
+            takes = sys.getsizeof(s) + ENTRY
+            if takes <= self.room and len(s) <= LONGEST:
+                self.room -= takes
+                memo[s] = len(ids) // 4
+            else:
+                memo.rare[s] = len(ids) // 4
+        found = [sum(map(memo.__getitem__, c)) for c in cut]
+        memo.rare = {}
+        return found
+
+
 def encoder(path: str, words: bool, most: int = MEMO) -> Encoder:
     """This worker's encoder for the file, which remembers ``most`` stretches."""
     return kept_by_worker(("tokens", path, words, most), lambda: Encoder(path, words, most))
 
 
+def counter(path: str) -> Counter:
+    """This worker's counter for the file."""
+    return kept_by_worker(("counts", path), lambda: Counter(path))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
