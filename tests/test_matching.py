@@ -38,6 +38,21 @@ def test_matched_against_difflib():
         assert min(matching.common(a, [b, a])) >= blocks and matching.common(a, [a, ""]) == [len(a), 0]
 
 
+def test_common_against_its_definition():
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for a, b in odd_pairs():
+        if len(a) * len(b) < 4000:
+            assert matching.common(a, [b, "", b[:9]]) == [lcs(a, b), 0, lcs(a, b[:9])]
+
+
 def test_loops_against_the_pattern():
     plain = re.compile(r"(.{12,160}?)(?:\s*\1){2,}", re.S)
     rng = random.Random(4)
@@ -55,6 +70,25 @@ def test_loops_cost_little():
     assert 5 * seconds(matching.once, s) < seconds(matching.LOOP.sub, r"\1", s)
 
 
+def plain_merge(text):
+    kept = []
+    for line in text.splitlines():
+        if not line.strip():
+            if kept and kept[-1] != "":
+                kept.append("")
+            continue
+        for k in reversed(range(max(0, len(kept) - 7), len(kept))):
+            n, m = len(line.strip()), len(kept[k].strip())
+            if m and plain_similarity(line, kept[k]) >= (0.68 if max(n, m) >= 36 else 0.9):
+                kept[k] = line if n > m else kept[k]
+                break
+        else:
+            kept.append(line)
+    while kept and not kept[-1].strip():
+        del kept[-1]
+    return "\n".join(kept)
+
+
 def plain_similarity(a, b):
     x, y = (" ".join(s.casefold().split()) for s in (a, b))
     if not (x and y):
@@ -67,6 +101,25 @@ def plain_similarity(a, b):
     return max(ratio, (ratio + len(p & q) / len(p | q)) / 2)
 
 
+def test_near_lines_against_a_plain_restatement():
+    rng = random.Random(6)
+    for _ in range(40):
+        lines = [prose(rng, rng.choice([0, 8, 30, 60, 150, 240])) for _ in range(8)]
+        for _ in range(12):
+            x = list(rng.choice(lines))
+            for _ in range(rng.randint(0, 1 + len(x) // 4) if x else 0):
+                x[rng.randrange(len(x))] = rng.choice("etaoin ")
+            lines.insert(rng.randrange(len(lines)), "".join(x) + rng.choice(["", " more", " ".join(x[:9])]))
+        assert similarity.merge_near_lines("\n".join(lines)) == plain_merge("\n".join(lines))
+
+
+def test_near_lines_rarely_need_the_matcher(monkeypatch):
+    rng, calls = random.Random(7), []
+    monkeypatch.setattr(similarity, "matched", lambda a, b: calls.append(1) or matching.matched(a, b))
+    text = "\n".join(prose(rng, rng.randint(60, 190)) for _ in range(200))
+    assert similarity.merge_near_lines(text).count("\n") == 199 and len(calls) < 20  # 1400 pairs
+
+
 def test_line_similarity_costs_little():
     rng = random.Random(8)
     pairs = [(prose(rng, 190), prose(rng, 190)) for _ in range(60)]
