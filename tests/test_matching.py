@@ -5,6 +5,8 @@ import re
 import time
 from difflib import SequenceMatcher
 
+import pytest
+
 from velloom.functions import matching, similarity
 
 
@@ -146,3 +148,11 @@ def test_repeated_tail_against_a_plain_restatement():
     for _ in range(200):
         text = "\n\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 12)))
         assert similarity.drop_repeated_tail(text) == (plain_tail(text) if text else text)
+
+
+@pytest.mark.parametrize("query", ["stitched_bands", "refine_guard"])
+def test_conversations_are_dealt_to_all_partitions(spark, query):
+    from velloom.plans import queries
+
+    d = queries.queries()[query](spark, "/root/testdata/sf0.001")
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,6 +18,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` in the session's number of partitions, which isn't lowered for few bytes: what follows costs far more than its bytes show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join_pages(_t(spark, sf, "conversations"), "conv_id", "turn")
 
@@ -174,7 +179,7 @@ def phrase_loops(spark, sf):
 
 
 def refine_guard(spark, sf):
-    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("refined"), F.min_by("text", "turn").alias("draft"))
+    c = dealt(_t(spark, sf, "conversations"), "conv_id").groupBy("conv_id").agg(F.max_by("text", "turn").alias("refined"), F.min_by("text", "turn").alias("draft"))
     return c.select("conv_id", similarity.each(similarity.prefer_refined)(F.col("draft"), F.col("refined")).alias("text"))
 
 
