@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from velloom.functions import matching, similarity
+from velloom.operators import lexicon
 
 
 def prose(rng, n):
@@ -156,3 +157,9 @@ def test_conversations_are_dealt_to_all_partitions(spark, query):
 
     d = queries.queries()[query](spark, "/root/testdata/sf0.001")
     assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_look_alikes_make_no_variants(spark):
+    made = lexicon.look_alikes(spark.createDataFrame([("n" * 40,), ("nununa",), ("cccxx",)], "word string"), spark.createDataFrame([("u" * 3 + "n" * 37,), ("unuano",), ("eeexx",), ("iiixx",)], "word string"), ("nu", "ec", "ei", "ao"))
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in made.collect()} == {("n" * 40, "u" * 3 + "n" * 37), ("cccxx", "eeexx")}  # c and i are alike by way of e only

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ALIKE
-from ..functions.text import let
 
 
 def in_lexicon(df: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
@@ -17,34 +16,34 @@ def in_lexicon(df: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFra
     return df.join(known, (F.lower(df[word]) == F.col("known")) & (F.length(df[word]) >= 2), "left_semi")
 
 
-def _replace(word: Column, at: Column, new: Column) -> Column:
-    """``word`` with the letter at place ``at``, from 0, replaced."""
-    return F.concat(F.substring(word, F.lit(1), at), new, F.substring(word, at + 2, F.length(word)))
-
-
 def look_alikes(words: DataFrame, lexicon: DataFrame, pairs: Iterable[str] = ALIKE, least: int = 5, word: str = "word") -> DataFrame:
     """JN5, SCL13, ORD2: (word, pick) for each different lower-case word of ``least`` letters or more that the lexicon lacks and that
     exactly one known word is three look-alike letters away from. ``pairs`` are letters that look alike, both ways.
 
-    A word's variants, at most as many as three of its places and their letters allow, meet the lexicon in a join; only the
-    known ones are counted. Null words have no pick.
+    Words meet the lexicon by their spelling with one letter for all that are alike, also by way of others; pairs are then
+    verified. So no variant is made: what is shuffled are the different words of both sides. Null words have no pick.
     """
     alike: dict[str, set[str]] = {}
     for a, b in pairs:
         alike.setdefault(a, set()).add(b)
         alike.setdefault(b, set()).add(a)
     table = F.create_map(*[x for k, v in sorted(alike.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
+    first = dict(zip(alike, alike))  # the letter that stands for a letter
+    for x, y in ((x, y) for x, ys in alike.items() for y in ys):
+        old, new = sorted((first[x], first[y]), reverse=True)
+        first = {k: new if v == old else v for k, v in first.items()}
+    letters, plain = "".join(first), "".join(first.values())
+    key = lambda c: F.translate(c, letters, plain).alias("key")
+    enough = lambda c: F.length(F.translate(c, letters, "")) <= F.length(c) - 3
+
     known = lexicon.select(F.lower(word).alias("known")).where("known is not null").distinct()
-    asked = words.select(F.lower(word).alias("word")).where(F.length("word") >= least).distinct()
+    asked = words.select(F.lower(word).alias("word")).where((F.length("word") >= least) & enough(F.col("word"))).distinct()
     unknown = asked.join(known, F.col("word") == F.col("known"), "left_anti")
-    places = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.map_contains_key(table, F.substring(F.col("word"), i + 1, F.lit(1))))
-    after = lambda p, i: F.filter(p, lambda j: j > i)
-    threes = let(places, lambda p: F.flatten(F.transform(p, lambda i: F.flatten(F.transform(after(p, i), lambda j: F.transform(after(p, j), lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k"))))))))
-    cut = unknown.select("word", F.explode(threes).alias("at")).select("word", "at", F.col("word").alias("variant"))
-    for n in "ijk":
-        letter = F.substring(F.col("word"), F.col(f"at.{n}") + 1, F.lit(1))
-        cut = cut.withColumn("new", F.explode(F.try_element_at(table, letter))).withColumn("variant", _replace(F.col("variant"), F.col(f"at.{n}"), F.col("new"))).drop("new")
-    met = cut.select("word", "variant").join(known, F.col("variant") == F.col("known")).groupBy("word").agg(F.min("known").alias("pick"), F.max("known").alias("last"))
+    letter = lambda c, i: F.substring(F.col(c), i, F.lit(1))
+    other = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: letter("word", i) != letter("known", i))
+    swaps = lambda i: F.coalesce(F.array_contains(F.try_element_at(table, letter("word", i)), letter("known", i)), F.lit(False))
+    pairs = unknown.select("word", key(F.col("word"))).join(known.where(enough(F.col("known"))).select("known", key(F.col("known"))), "key")
+    met = pairs.where((F.size(other) == 3) & F.forall(other, swaps)).groupBy("word").agg(F.min("known").alias("pick"), F.max("known").alias("last"))
     return met.where("pick = last").select("word", "pick")
 
 
