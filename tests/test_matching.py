@@ -2,13 +2,15 @@
 
 import random
 import re
+import struct
 import time
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from velloom.functions import matching, similarity
-from velloom.operators import lexicon
+from velloom.operators import images, lexicon
 
 
 def prose(rng, n):
@@ -163,3 +165,14 @@ def test_look_alikes_make_no_variants(spark):
     made = lexicon.look_alikes(spark.createDataFrame([("n" * 40,), ("nununa",), ("cccxx",)], "word string"), spark.createDataFrame([("u" * 3 + "n" * 37,), ("unuano",), ("eeexx",), ("iiixx",)], "word string"), ("nu", "ec", "ei", "ao"))
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in made.collect()} == {("n" * 40, "u" * 3 + "n" * 37), ("cccxx", "eeexx")}  # c and i are alike by way of e only
+
+
+def test_black_and_white_pages_take_a_bit_a_pixel():
+    rng = np.random.default_rng(1)
+    for shape in ((1, 1), (3, 7), (20, 8), (33, 129)):
+        page = (rng.random(shape) < 0.5).astype(np.uint8) * np.uint8(255)
+        made = images.encode_png(page)
+        assert (images.decode_png(made)[:, :, 0] == page).all()
+        assert struct.unpack_from(">IIB", made, 16) == (shape[1], shape[0], 1)
+    gray = np.array([[0, 255, 1], [254, 128, 127]], np.uint8)
+    assert images.encode_png(gray)[24] == 8 and (images.decode_png(images.encode_png(gray))[:, :, 0] == gray).all()

@@ -42,6 +42,12 @@ def smooth(p: np.ndarray, size: int) -> np.ndarray:
     return np.convolve(p, np.ones(size) / size, mode="same")
 
 
+def total(ink: np.ndarray, axis: int) -> np.ndarray:
+    """Sums along an axis; of bytes in the least type that is sure to hold them."""
+    n = ink.shape[axis]
+    return ink.sum(axis=axis, dtype=None if ink.dtype != np.uint8 or n >= 1 << 24 else np.uint16 if n <= 257 else np.uint32)
+
+
 def runs(on: np.ndarray) -> list[tuple[int, int]]:
     """Half-open ranges where ``on`` holds."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
@@ -50,18 +56,10 @@ def runs(on: np.ndarray) -> list[tuple[int, int]]:
 
 def peaks(p: np.ndarray, distance: int, prominence: float) -> np.ndarray:
     """WIN11: strict local maxima (the middle of a plateau), thinned by distance from the highest down, then by prominence."""
-    found = []
-    i = 1
-    while i < len(p) - 1:
-        if p[i - 1] < p[i]:
-            j = i
-            while j < len(p) - 1 and p[j + 1] == p[i]:
-                j += 1
-            if j < len(p) - 1 and p[j + 1] < p[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    at = np.array(found, int)
+    start = np.flatnonzero(np.append(True, p[1:] != p[:-1]))[: len(p)]  # of each plateau
+    level, stop = p[start], np.append(start[1:], len(p))
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    at = (start[top] + stop[top] - 1) // 2
     keep = np.ones(len(at), bool)
     for k in np.argsort(p[at], kind="stable")[::-1]:
         if keep[k]:
@@ -85,7 +83,7 @@ def word_ranges(ink: np.ndarray, min_gap: int | None = None, min_width: int | No
     # fixed values: least gap and width, in pixels and in heights of the line; ink that makes a column count
     min_gap = max(12, int(0.3 * height)) if min_gap is None else min_gap
     min_width = max(8, int(0.2 * height)) if min_width is None else min_width
-    found = np.array(runs(smooth(ink.sum(axis=0) / 255, 5) > 0.4), int).reshape(-1, 2)
+    found = np.array(runs(smooth(total(ink, 0) / 255, 5) > 0.4), int).reshape(-1, 2)
     wide = found[1:, 0] - found[:-1, 1] >= min_gap  # gaps that part words
     start, stop = found[np.append(True, wide)[: len(found)], 0], found[np.append(wide, True)[: len(found)], 1]
     keep = stop - start >= min_width
