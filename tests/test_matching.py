@@ -7,10 +7,12 @@ import time
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from velloom.functions import matching, similarity
-from velloom.operators import images, lexicon
+from velloom.operators import images, lexicon, recognition
+from velloom.plans import service
 
 
 def prose(rng, n):
@@ -176,3 +178,23 @@ def test_black_and_white_pages_take_a_bit_a_pixel():
         assert struct.unpack_from(">IIB", made, 16) == (shape[1], shape[0], 1)
     gray = np.array([[0, 255, 1], [254, 128, 127]], np.uint8)
     assert images.encode_png(gray)[24] == 8 and (images.decode_png(images.encode_png(gray))[:, :, 0] == gray).all()
+
+
+class _Uploads:
+    """Keeps what would run on each partition."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_recognised_pages_leave_in_pieces():
+    n = 5000
+    batch = pa.RecordBatch.from_pydict({"job_id": [str(i) for i in range(n)], "content_type": ["image/png"] * n, "content": [b"x" * 1000 if i % 3 else None for i in range(n)], "lang": ["ru"] * n})
+    made = list(recognition.pages_of(_Uploads(), "test", service.read_utf8)(iter([batch, batch.slice(0, 0), batch])))
+    assert sum(p.num_rows for p in made) == 2 * n and max(p.num_rows for p in made) <= recognition.MOST_ROWS
+    assert max(p.nbytes for p in made) < 2 * recognition.MOST_TEXT
+    rows = [r for p in made for r in p.to_pylist()]
+    assert [r["job_id"] for r in rows] == [str(i) for i in range(n)] * 2 and rows[1]["text"] == "x" * 1000 and rows[0]["text"] is None and rows[0]["error"]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,17 @@ Opener = Callable[[str, bytes], list[bytes]]
 PAGE = "job_id string, page int, pages int, engine string, text string, confidence double, words array<struct<text:string,confidence:double>>, error string, began double, ended double"
 
 
+#: Rows, and characters of their texts, that leave a worker at once.
+MOST_ROWS, MOST_TEXT = 1000, 1 << 20
+_WORDS = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64())]))
+_TYPES = {"job_id": pa.string(), "page": pa.int32(), "pages": pa.int32(), "engine": pa.string(), "text": pa.string(), "confidence": pa.float64(), "words": _WORDS, "error": pa.string(), "began": pa.float64(), "ended": pa.float64()}
+
+
+def _page_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, _TYPES.values())], names=list(_TYPES))
+
+
 class ModelCache:
     """MDL9, CTL6: models of a worker by key, each loaded once. Loading an exclusive key puts the other exclusive ones out first."""
 
@@ -101,12 +112,16 @@ def pages_of(uploads: DataFrame, name: str, engine: Engine, opener: Opener = one
     A page that fails has its error and no text; an upload that can't be opened, or has no page, is one row with an error.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in PAGE.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0  # characters of their texts
         for batch in batches:
             read = MODELS.load(name, engine)
-            rows = []
-            for job, kind, content, lang in zip(batch["job_id"], batch["content_type"], batch["content"], batch["lang"]):
+            for k in range(batch.num_rows):
+                if len(rows) >= MOST_ROWS or held >= MOST_TEXT:
+                    yield _page_rows(rows)
+                    rows, held = [], 0
+                job, kind, content, lang = (batch.column(c)[k].as_py() for c in range(4))
                 began = time.time()
                 try:
                     pages = opener(kind, content)[:most]
@@ -122,9 +137,12 @@ def pages_of(uploads: DataFrame, name: str, engine: Engine, opener: Opener = one
                     except Exception as failed:
                         error = str(failed)
                     rows.append((job, i, len(pages), name, found.get("text"), found.get("confidence"), found.get("words"), error, began, time.time()))
-            yield pd.DataFrame(rows, columns=columns)
+                    held += len(found.get("text") or "") + 50 * len(found.get("words") or ())
+            del batch  # before the next one is read
+        yield _page_rows(rows)
+        pa.default_memory_pool().release_unused()
 
-    return uploads.select("job_id", "content_type", "content", "lang").mapInPandas(run, PAGE)
+    return uploads.select("job_id", "content_type", "content", "lang").mapInArrow(run, PAGE)
 
 
 def recognize(uploads: DataFrame, engines: Mapping[str, Engine], correctors: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, opener: Opener = one_page) -> DataFrame:
