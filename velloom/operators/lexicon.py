@@ -42,8 +42,10 @@ def look_alikes(words: DataFrame, lexicon: DataFrame, pairs: Iterable[str] = ALI
     letter = lambda c, i: F.substring(F.col(c), i, F.lit(1))
     other = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: letter("word", i) != letter("known", i))
     swaps = lambda i: F.coalesce(F.array_contains(F.try_element_at(table, letter("word", i)), letter("known", i)), F.lit(False))
-    pairs = unknown.select("word", key(F.col("word"))).join(known.where(enough(F.col("known"))).select("known", key(F.col("known"))), "key")
-    met = pairs.where((F.size(other) == 3) & F.forall(other, swaps)).groupBy("word").agg(F.min("known").alias("pick"), F.max("known").alias("last"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, since few bytes make many pairs
+    pairs = unknown.select("word", key(F.col("word"))).repartition(n, "key").join(known.where(enough(F.col("known"))).select("known", key(F.col("known"))), "key")
+    near = F.levenshtein(F.col("word"), F.col("known"), 3) > 0  # cheap; leaves few pairs to look at letter by letter
+    met = pairs.where(near).where((F.size(other) == 3) & F.forall(other, swaps)).groupBy("word").agg(F.min("known").alias("pick"), F.max("known").alias("last"))
     return met.where("pick = last").select("word", "pick")
 
 
